@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from bazaarlake.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from bazaarlake.llm.packing import best_fit_packing
+from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
 from bazaarlake.llm.token_counts import token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts,
+    "op4_best_fit_packing": best_fit_packing,
+    "op5_sentencepiece_codec": sentencepiece_codec,
     "op7_exact_dedup": exact_dedup,
 }
 
