@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from bazaarlake.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from bazaarlake.llm.fingerprints import document_fingerprints
+from bazaarlake.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from bazaarlake.llm.packing import best_fit_packing
 from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
 from bazaarlake.llm.token_counts import token_counts
@@ -12,6 +14,11 @@ QUERIES = {
     "op4_best_fit_packing": best_fit_packing,
     "op5_sentencepiece_codec": sentencepiece_codec,
     "op7_exact_dedup": exact_dedup,
+    "op8_line_dedup": line_dedup,
+    "op10_document_fingerprints": document_fingerprints,
 }
 
-ORACLES = {"op7_exact_dedup": EXACT_DEDUP_SQL}
+ORACLES = {
+    "op7_exact_dedup": EXACT_DEDUP_SQL,
+    "op8_line_dedup": LINE_DEDUP_SQL,
+}
