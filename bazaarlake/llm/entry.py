@@ -5,11 +5,13 @@ from __future__ import annotations
 from bazaarlake.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from bazaarlake.llm.fingerprints import document_fingerprints
 from bazaarlake.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
+from bazaarlake.llm.minhash_dedup import minhash_dedup
 from bazaarlake.llm.packing import best_fit_packing
 from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
 from bazaarlake.llm.token_counts import token_counts
 
 QUERIES = {
+    "op1_minhash_dedup": minhash_dedup,
     "op2_token_counts": token_counts,
     "op4_best_fit_packing": best_fit_packing,
     "op5_sentencepiece_codec": sentencepiece_codec,
