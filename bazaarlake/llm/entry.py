@@ -7,6 +7,7 @@ from bazaarlake.llm.fingerprints import document_fingerprints
 from bazaarlake.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from bazaarlake.llm.minhash_dedup import minhash_dedup
 from bazaarlake.llm.packing import best_fit_packing
+from bazaarlake.llm.secret_scan import secret_scan
 from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
 from bazaarlake.llm.token_counts import token_counts
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_sentencepiece_codec": sentencepiece_codec,
     "op7_exact_dedup": exact_dedup,
     "op8_line_dedup": line_dedup,
+    "op9_secret_scan": secret_scan,
     "op10_document_fingerprints": document_fingerprints,
 }
 
