@@ -9,11 +9,13 @@ from bazaarlake.llm.minhash_dedup import minhash_dedup
 from bazaarlake.llm.packing import best_fit_packing
 from bazaarlake.llm.secret_scan import secret_scan
 from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
+from bazaarlake.llm.suffix_dedup import suffix_dedup
 from bazaarlake.llm.token_counts import token_counts
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_token_counts": token_counts,
+    "op3_suffix_dedup": suffix_dedup,
     "op4_best_fit_packing": best_fit_packing,
     "op5_sentencepiece_codec": sentencepiece_codec,
     "op7_exact_dedup": exact_dedup,
