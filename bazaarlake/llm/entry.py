@@ -11,6 +11,7 @@ from bazaarlake.llm.secret_scan import secret_scan
 from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
 from bazaarlake.llm.suffix_dedup import suffix_dedup
 from bazaarlake.llm.token_counts import token_counts
+from bazaarlake.llm.toxicity import toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_suffix_dedup": suffix_dedup,
     "op4_best_fit_packing": best_fit_packing,
     "op5_sentencepiece_codec": sentencepiece_codec,
+    "op6_toxicity": toxicity,
     "op7_exact_dedup": exact_dedup,
     "op8_line_dedup": line_dedup,
     "op9_secret_scan": secret_scan,
