@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: A key is hot when it owns more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys are hot.
 HOT_SHARE = 1000
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -62,6 +62,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def right_sized(df: DataFrame, rows: int, rows_a_task: int) -> DataFrame:
+    """df in about one task for rows_a_task rows, at least two for each core and at most one for each shuffle partition.
+
+    Starting a Python task costs more than a small partition's work; neighbouring partitions are read by
+    one task, without another shuffle."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, min(most, max(2 * spark.sparkContext.defaultParallelism, -(-rows // rows_a_task)))))
+
+
 def lookup(facts: DataFrame, dim: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """facts LEFT JOIN dim on key (unique in dim), safe for hot keys.
 

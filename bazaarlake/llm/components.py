@@ -15,14 +15,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")).withColumnRenamed("a", "node")
     joined = around.join(least, around["a"] == least["node"])
     if large:
-        out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
+        return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")).filter(F.col("a") != F.col("b"))
+    out = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node either points to one other or is pointed to."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("pointed")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("pointed")))
+    odd = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("pointed").alias("pointed")).filter("points > 1 OR (points > 0 AND pointed > 0)")
+    return odd.agg(F.count("*")).first()[0] == 0
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -31,11 +33,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so a lost executor costs a round's tasks at most. The
     number of rounds grows as the logarithm of the longest path."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct(), "component-edges")
-    before = _state(edges)
-    while True:
+    while not _all_stars(edges):
         edges = stored(_stars(_stars(edges, True), False), "component-edges")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

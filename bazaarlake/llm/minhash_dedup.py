@@ -7,10 +7,13 @@ its similarity reaches THRESHOLD is below MISS. Pairs that survive are verified
 every link is exact; only a link whose pair shares no band is lost, with probability at most
 (1 - THRESHOLD**BAND_ROWS)**BANDS, about 1e-5 at the threshold and less above it.
 
-No bucket's pairs are emitted. A bucket's members are compared with its least member, then those still
-in other components with its greatest; last, in the buckets that still hold several components, members
-of different components are compared under a bit-sketch bound inside the join. Members that are already
-connected need no comparison, and any two that aren't have been compared, so components are exact.
+No bucket's pairs are emitted. A bucket's members are compared with its least member; then, in the
+buckets that still hold several components, members of different components are compared inside a join
+by their odd sketches. (An odd sketch has bit i set if
+an odd number of the set's hashes fall on i, so two sketches differ in no more bits than the sets have
+differing members, and a pair that differs in more than the threshold allows is ruled out with
+certainty.) Members that are already connected need no comparison, and any two others in a bucket have
+been compared, so components are exact.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; rows with one doc_id
 are one document; a null doc_id gives a null component and is kept; an empty table gives no rows; other
@@ -28,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import Memo, arrow_map, documents, lookup, mix64, prepare, release, stored, texts, utf8_list
+from bazaarlake.llm.common import Memo, arrow_map, documents, lookup, mix64, prepare, release, right_sized, stored, texts, utf8_list
 from bazaarlake.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, (75, 100)
 BANDS, BAND_ROWS, BATCH = 30, 4, 24
 MISS = 1e-6
 HASHES = BANDS * BAND_ROWS
+DOCS_A_TASK, PAIRS_A_TASK = 4_000, 5_000  # of Python tasks
+ODD_LONGS = 32  # 64-bit words of an odd sketch
 _BLOCK = 512
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,31 +85,40 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for empty sets), sig (16 bits a hash), bits (the lowest bit of each) and bands."""
+    """doc_id, n_shingles, set_key (null for empty sets), sig (16 bits a hash) and bands."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], []]
         for text in utf8_list(batch):
             shingles = shingle_set(text)
             if len(shingles):
                 full = signature(shingles)
                 sig = full.astype(np.uint16)
                 bands = mix64((full.reshape(BANDS, BAND_ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                bits = np.packbits(np.append((sig & 1).astype(np.uint8), np.zeros(128 - HASHES, np.uint8))).view(np.int64)
-                row = (len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), sig.tobytes(), bits, bands.view(np.int64))
+                row = (len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), sig.tobytes(), bands.view(np.int64))
             else:
-                row = (0, None, None, None, None)
+                row = (0, None, None, None)
             for col, x in zip(cols, row, strict=True):
                 col.append(x)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_shingles", "set_key", "sig", "bits", "bands"])
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
 
-    return arrow_map(docs, "doc_id long, n_shingles long, set_key binary, sig binary, bits array<long>, bands array<long>", lambda: step)
+    return arrow_map(docs, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>", lambda: step)
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    counts = np.bincount((shingles % np.uint64(64 * ODD_LONGS)).astype(np.int64), minlength=64 * ODD_LONGS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its set as bytes of sorted 64-bit hashes."""
-    return arrow_map(docs, "doc_id long, shingles binary", lambda: lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in utf8_list(batch)], pa.binary())], ["doc_id", "shingles"]))
+    """doc_id, its set as bytes of sorted 64-bit hashes, its size and odd sketch."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in utf8_list(batch)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(odd_sketch, sets), pa.list_(pa.int64()))], ["doc_id", "shingles", "size", "odd"])
+
+    return arrow_map(docs, "doc_id long, shingles binary, size long, odd array<long>", lambda: step)
 
 
 @lru_cache(maxsize=8)
@@ -124,17 +138,7 @@ def least_matches(similarity: float, miss: float) -> list[int]:
     return out
 
 
-def most_differing_bits(similarity: float, miss: float) -> int:
-    """Lowest bits of two signatures differ with chance (1 - s) / 2 each; more than this many differ with chance below miss."""
-    p, mass = (1 - similarity) / 2, 0.0
-    for k in range(HASHES, -1, -1):
-        mass += comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
-        if mass > miss:
-            return k
-    return HASHES
-
-
-def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, sigs: DataFrame, rows: int) -> DataFrame:
     """The pairs (a, b) that the sequential comparison of signature batches leaves."""
     limits = least_matches(THRESHOLD[0] / THRESHOLD[1], MISS)
     left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
@@ -150,10 +154,11 @@ def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 break
         return batch.select([0, 1]).take(pa.array(alive))
 
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), "a long, b long", lambda: step)
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+    return arrow_map(right_sized(joined, rows, PAIRS_A_TASK), "a long, b long", lambda: step)
 
 
-def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def exact_links(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
@@ -169,7 +174,8 @@ def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             linked.append(whole * common >= part * (len(set_a) + len(set_b) - common))
         return batch.select([0, 1]).filter(pa.array(linked))
 
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), "a long, b long", lambda: step)
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    return arrow_map(right_sized(joined, rows, PAIRS_A_TASK), "a long, b long", lambda: step)
 
 
 class NearDuplicates:
@@ -182,50 +188,48 @@ class NearDuplicates:
         known = self.rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
         self.classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "minhash-classes")
         reps = known.join(self.classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-        reps = stored(reps.select("doc_id", "sig", "bits", "bands"), "minhash-representatives")
+        reps = stored(reps.select("doc_id", "sig", "bands"), "minhash-representatives")
         release(spark)
         members = reps.select(F.explode("bands").alias("bucket"), "doc_id")
         buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("members"))
-        buckets = stored(buckets.filter(F.col("least") < F.col("greatest")), "minhash-buckets")
+        buckets = stored(buckets.filter("least < greatest").drop("greatest"), "minhash-buckets")
         total = buckets.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
         shared = lookup(members, buckets, "bucket", "members", total).filter(F.col("least").isNotNull())
-        self.members = stored(shared.select("bucket", "doc_id", "least", "greatest"), "minhash-members")
+        self.members = stored(shared.select("bucket", "doc_id", "least"), "minhash-members")
         release(spark)
-        candidates = stored(self.members.select("doc_id").distinct(), "minhash-candidates")
-        self.sigs = stored(reps.join(candidates, "doc_id", "left_semi").select("doc_id", "sig", "bits"), "minhash-signatures")
-        self.sets = stored(shingle_sets(docs.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi")), "minhash-sets")
+        self.sigs = reps.select("doc_id", "sig")
+        self.candidates = stored(self.members.select("doc_id").distinct(), "minhash-candidates")
+        wanted = docs.join(self.candidates.hint("shuffle_hash"), "doc_id", "left_semi")
+        self.sets = stored(shingle_sets(right_sized(wanted, self.rows.count(), DOCS_A_TASK)), "minhash-sets")
         release(spark)
         # 1: each bucket's members against its least one.
         first = self.members.filter("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-        links = self._verified(first)
-        labels = connected_components(links)
-        # 2: those in other components than its greatest, against that one.
-        named = self._named(labels)
-        heads = named.select(F.col("doc_id").alias("greatest"), F.col("component").alias("head")).distinct()
-        second = named.join(heads, "greatest").filter("component != head").select(F.col("doc_id").alias("a"), F.col("greatest").alias("b")).distinct()
-        links = links.unionByName(self._verified(second))
-        labels = connected_components(links)
-        # 3: what still lies in different components of one bucket.
-        links = links.unionByName(self._verified(self._across(labels)))
-        self.labels = stored(connected_components(links), "minhash-labels")
+        labels = stored(connected_components(self._verified(first)), "minhash-labels")
+        # 2: what still lies in different components of one bucket. Components go on as stars.
+        known = labels.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        self.labels = stored(connected_components(known.unionByName(self._verified(self._across(labels)))), "minhash-labels")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        kept = stored(plausible(pairs, self.sigs), "minhash-plausible")
-        links = stored(exact_links(kept, self.sets), "minhash-links")
+        pairs = stored(pairs, "minhash-pairs")
+        kept = stored(plausible(pairs, self.sigs, pairs.count()), "minhash-plausible")
+        links = stored(exact_links(kept, self.sets, kept.count()), "minhash-links")
         release(links.sparkSession)
         return links
 
     def _named(self, labels: DataFrame) -> DataFrame:
         """The buckets' members with their components."""
-        names = self.sigs.select("doc_id", "bits").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        names = self.candidates.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         return stored(self.members.join(names, "doc_id"), "minhash-named")
 
     def _across(self, labels: DataFrame) -> DataFrame:
         named = self._named(labels)
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        left = stored(named.join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "component", F.col("bits")[0].alias("x"), F.col("bits")[1].alias("y")), "minhash-mixed")
+        sketches = self.sets.select("doc_id", "size", *(F.col("odd")[k].alias(f"odd{k}") for k in range(ODD_LONGS)))
+        left = stored(named.join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "component").join(sketches, "doc_id"), "minhash-mixed")
         a, b = left.alias("a"), left.alias("b")
-        near = F.expr(f"bit_count(a.x ^ b.x) + bit_count(a.y ^ b.y) <= {most_differing_bits(THRESHOLD[0] / THRESHOLD[1], MISS)}")
+        differing = " + ".join(f"bit_count(a.odd{k} ^ b.odd{k})" for k in range(ODD_LONGS))
+        part, whole = THRESHOLD  # at similarity s, sets of sizes x and y differ in (x + y) (1 - s) / (1 + s) members
+        near = F.expr(f"({differing}) * {whole + part} <= (a.size + b.size) * {whole - part}")
         pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")) & near)
         return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
