@@ -16,19 +16,21 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import arrow_map, documents, prepare, stored, texts, utf8_list
+from bazaarlake.llm.common import arrow_map, documents, prepare, ragged_arange, stored, texts
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 ROWS_A_SALT = 200_000
 
 
@@ -42,7 +44,8 @@ class WordTokens:
     """Ids of texts by a tokenizer that drops white space and works within its gaps, with a bounded word cache.
 
     Such a tokenizer (its normaliser and pre-tokenizer treat white space as a border) gives a text the ids
-    of its white-space separated words in turn, so each distinct word is encoded once."""
+    of its white-space separated words in turn, so each distinct word of a batch is looked up once, and
+    encoded only if the cache lacks it; the texts' ids are gathered from the words' by index."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,24 +54,57 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, raw: list[bytes]) -> list[bytes]:
-        """The ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
-        lists = [t.split() for t in raw]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list(set().union(*lists) - self.known.keys()) if lists else []
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(coded.ids, "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in lists]
-        for word in fresh:
-            if len(word) > CACHE_BYTES:
-                del self.known[word]
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _stem(word: str) -> str:
+        """The word without a last full stop or comma that follows an ASCII letter: the two are separate to the tokenizer."""
+        return word[:-1] if word[-1:] in (".", ",") and "a" <= word[-2:-1] <= "z" else word
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words. What the newer half of the cache lacks is taken over from the older or encoded."""
+        if len(self.newer) > CACHE_WORDS:
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        out = list(map(newer.get, words))
+        fresh = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            word = words[k]
+            out[k] = ids = older.get(word)
+            if ids is None:
+                fresh.append(k)
+            else:
+                newer[word] = ids
+        stems = [w for w in {*(self._stem(words[k]) for k in fresh), ".", ","} if w not in newer]
+        for at in range(0, len(stems), 20_000):
+            part = stems[at : at + 20_000]
+            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                newer[word] = array("I", coded.ids).tobytes()
+        for k in fresh:
+            word = words[k]
+            if (ids := newer.get(word)) is None:
+                newer[word] = ids = newer[word[:-1]] + newer[word[-1]]
+            out[k] = ids
+        for word in [w for w in (*(words[k] for k in fresh), *stems) if len(w) > CACHE_CHARS]:
+            newer.pop(word, None)
         return out
 
+    def ids(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and where each text's begin (and the last one's end)."""
+        # A-Z may be lower-cased before the split where that can't matter: combining marks may compose with one case only, and special tokens are lower-case.
+        plain = pa.array([b"\xcc" not in t and b"\xcd" not in t and b"<|" not in t for t in strings.cast(pa.binary()).to_pylist()], pa.bool_())
+        lists = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(strings), strings))
+        borders = lists.offsets.to_numpy()
+        words = lists.values.slice(borders[0], borders[-1] - borders[0]).dictionary_encode()
+        coded = self._coded(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, begins = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.append(0, np.cumsum(counts))
+        return flat[np.repeat(begins[at], counts) + ragged_arange(counts)], ends[borders - borders[0]]
+
 
 @lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
@@ -84,8 +120,9 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.ids(utf8_list(batch)), strict=True):
-                view = memoryview(ids + tail)
+            ids, ends = tokens.ids(batch.column(1))
+            for doc_id, begin, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                view = memoryview(ids[begin:end].tobytes() + tail)
                 for k, at in enumerate(range(0, len(view), 4 * capacity)):
                     part = view[at : at + 4 * capacity]
                     for col, x in zip(cols, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if keep_ids else None), strict=True):

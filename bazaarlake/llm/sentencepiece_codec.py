@@ -26,7 +26,7 @@ from bazaarlake.llm.common import arrow_map, documents, prepare, ragged_arange,
 
 MARK = "▁"
 NEVER = np.int32(2**31 - 1)
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -209,15 +209,17 @@ class WordCache:
     """Per worker: the decimal ids and decoded bytes of recent words."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.decimal, self.plain = codec, {}, {}
+        self.codec, self.decimal, self.plain, self.reused = codec, {}, {}, set()
 
     def cover(self, lists: list[list[str]]) -> None:
         """Encode what the given words lack; long words are encoded with the others but dropped at the next call."""
         need = set().union(*lists) if lists else set()
-        if len(self.decimal) > CACHE_WORDS:
-            self.decimal.clear()
-            self.plain.clear()
-        fresh = list(need - self.decimal.keys())
+        if len(self.decimal) > CACHE_WORDS:  # words that no later batch used go
+            keep = self.reused if len(self.reused) < CACHE_WORDS // 2 else ()
+            self.decimal, self.plain = ({w: d[w] for w in keep} for d in (self.decimal, self.plain))
+            self.reused = set()
+        fresh = [w for w in need if w not in self.decimal]
+        self.reused |= need.difference(fresh)
         ids, ends = self.codec.encode_words(fresh)
         ids, begin, digits, of_id = ids.tolist(), 0, self.codec.digits, self.codec.of_id
         for word, end in zip(fresh, ends.tolist(), strict=True):
