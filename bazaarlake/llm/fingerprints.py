@@ -74,7 +74,8 @@ def _level(names: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     runs = np.diff(np.append(starts, len(names)))
     names, first = names[starts], first[starts]
     labels = _toss(names, first)
-    peak = np.append(True, labels[1:] > labels[:-1]) & np.append(labels[:-1] >= labels[1:], False)
+    last = np.append(first[1:], True)  # a text's last symbol has no right neighbour and is no peak
+    peak = np.append(True, labels[1:] > labels[:-1]) & np.append(labels[:-1] >= labels[1:], False) & ~last
     # A peak that is a text's second symbol would leave a lone first one.
     cut = first | (peak & ~np.append(False, first[:-1]))
     at = np.flatnonzero(cut)
