@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlake.functions.units import money_text
 from bazaarlake.operators.rollup import ROLLUP_SQL, roll_up
 from bazaarlake.sources.catalog import OFFERS_SQL, Catalog
 
@@ -113,7 +114,7 @@ def savings_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV sink's projection: money with four decimals at most and no trailing zeros, nulls as empty text."""
-    money = lambda c: F.coalesce(F.rtrim(F.rtrim(F.format_string("%.4f", F.floor(F.col(c) * 100) / 100), F.lit("0")), F.lit(".")), F.lit(""))
+    money = lambda c: money_text(F.floor(F.col(c) * 100) / 100)
     return listing(Catalog(spark, sf_dir)).select("product_id", "title", "brand", money("best_price_usd").alias("best"), money("max_price_usd").alias("worst"))
 
 
