@@ -22,7 +22,7 @@ def score(image: Column, title: Column, specs: Column, overlap: Column, shared_c
     near, t = F.coalesce(image, F.lit(0.0)) >= 0.85, F.coalesce(title, F.lit(0.0))
     lifted = F.when(near & (t >= 0.40), F.greatest(base, F.lit(0.90))).when(near & (specs >= 0.8) & (overlap >= 2), F.greatest(base, F.lit(0.88))).when(near & (t < 0.25), F.least(base, F.lit(REVIEW + 0.05))).otherwise(base)
     with_code = F.least(F.lit(1.0), lifted + F.when(shared_code, CODE_BONUS).otherwise(0.0))
-    return F.coalesce(F.round(with_code * F.when(conflict, CONFLICT).otherwise(1.0), 4), F.lit(0.0))
+    return F.when(total > 0, F.round(with_code * F.when(conflict, CONFLICT).otherwise(1.0), 4)).otherwise(0.0)  # least() would skip a null
 
 
 def decide(score: Column) -> Column:
