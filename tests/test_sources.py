@@ -71,7 +71,7 @@ def test_band_guarantee(spark):
     from bazaarlake.functions import similarity
 
     rows = spark.range(200).select((F.xxhash64("id")).alias("a"), F.xxhash64("id", F.lit(1)).alias("r"))
-    flipped = F.col("a").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), F.pmod("r", F.lit(64)).cast("int"))).bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned("r", 8), F.lit(64)).cast("int")))
+    flipped = F.expr("a ^ shiftleft(1L, CAST(pmod(r, 64) AS INT)) ^ shiftleft(1L, CAST(pmod(shiftrightunsigned(r, 8), 64) AS INT))")
     both = rows.select("a", flipped.alias("b")).select(similarity.hamming(F.col("a"), F.col("b")).alias("d"), F.size(F.array_intersect(similarity.bands(F.col("a")), similarity.bands(F.col("b")))).alias("shared"))
     assert both.filter("d > 3 OR shared = 0").count() == 0
 
