@@ -40,6 +40,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space and works within its gaps, with a bounded word cache.
 
@@ -54,6 +61,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.letters = byte_letters()
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -77,6 +85,14 @@ class WordTokens:
             else:
                 newer[word] = ids
         stems = [w for w in {*(self._stem(words[k]) for k in fresh), ".", ","} if w not in newer]
+        # A word of lower-case Latin letters is one pre-token whatever the normaliser does: straight to the merges.
+        model, letters = self.tokenizer.model, self.letters
+        lacking = stems
+        for word in lacking:
+            if word.isalpha() and max(word) < "\u0180" and word == word.lower():
+                coded = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+                newer[word] = array("I", [t.id for t in model.tokenize(coded)]).tobytes()
+        stems = [w for w in stems if w not in newer]
         for at in range(0, len(stems), 20_000):
             part = stems[at : at + 20_000]
             for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -86,7 +102,7 @@ class WordTokens:
             if (ids := newer.get(word)) is None:
                 newer[word] = ids = newer[word[:-1]] + newer[word[-1]]
             out[k] = ids
-        for word in [w for w in (*(words[k] for k in fresh), *stems) if len(w) > CACHE_CHARS]:
+        for word in [w for w in (*(words[k] for k in fresh), *lacking) if len(w) > CACHE_CHARS]:
             newer.pop(word, None)
         return out
 
