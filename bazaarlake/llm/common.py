@@ -3,11 +3,13 @@ folder (lineage cuts that outlive executors), bounded Arrow batches and skew-saf
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: A key is hot when it owns more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys are hot.
 HOT_SHARE = 1000
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -39,13 +41,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='bazaarlake-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='bazaarlake-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder and a cluster one beside the warehouse's tables."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return _own_dir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_bazaarlake"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,14 +69,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def right_sized(df: DataFrame, rows: int, rows_a_task: int) -> DataFrame:
-    """df in about one task for rows_a_task rows, at least two for each core and at most one for each shuffle partition.
-
-    Starting a Python task costs more than a small partition's work; neighbouring partitions are read by
-    one task, without another shuffle."""
-    spark = df.sparkSession
+def task_count(spark: SparkSession, rows: int, rows_a_task: int) -> int:
+    """About one task for rows_a_task rows, at least two for each core and at most one for each shuffle partition."""
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(1, min(most, max(2 * spark.sparkContext.defaultParallelism, -(-rows // rows_a_task)))))
+    return max(1, min(most, max(2 * spark.sparkContext.defaultParallelism, -(-rows // rows_a_task))))
+
+
+def right_sized(df: DataFrame, rows: int, rows_a_task: int) -> DataFrame:
+    """df in task_count() tasks. Starting a Python task costs more than a small partition's work;
+    neighbouring partitions are read by one task, without another shuffle."""
+    return df.coalesce(task_count(df.sparkSession, rows, rows_a_task))
 
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -85,6 +94,15 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, size: str, total: int) ->
     return first.unionByName(rest)
 
 
+def return_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """mapInArrow with a function built once for each task; a batch that gives None yields no rows."""
 
@@ -93,6 +111,8 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
         for batch in batches:
             if batch.num_rows and (out := step(batch)) is not None:
                 yield out
+        del step
+        return_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from bazaarlake.llm.common import arrow_map, documents, prepare, ragged_arange, stored, texts
 
 CAPACITY, END_ID = 4096, 1
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 ROWS_A_SALT = 200_000
 
 

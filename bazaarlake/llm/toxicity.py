@@ -19,20 +19,22 @@ pass through `keep_clean`. Texts are read whole."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import Memo, arrow_map, documents, prepare, texts
+from bazaarlake.llm.common import Memo, arrow_map, documents, prepare, return_memory, texts
 
 TRAIN_ROWS = 20_000
 LEXICON_TERMS, EXCLUDED_WORDS = 300, 5_000  # bounds of what training brings to the driver
 LEAST_ROOT, LEAST_RATIO, LEAST_TEXTS = 6.0, 8.0, 5  # signed root of the log-likelihood ratio, ratio of frequencies, toxic texts
 WINDOW = 5
-MEMO_WORDS, STATES = 400_000, 100_000
+MEMO_WORDS, STATES = 120_000, 50_000
 #: Words that report somebody's speech, marks that open or close a quotation, edges of words.
 REPORTING = frozenset("said says say quote quoted quotes quoting wrote writes written called calls tweeted posted commented reported citation dijo dit sagte schrieb".split())
 QUOTES = frozenset("\"“”„«»‹›")
@@ -246,13 +248,14 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs, all their columns, that score below 0.5."""
-    scorer = None
 
     @F.pandas_udf("double")
-    def score(text):
-        nonlocal scorer
-        scorer = scorer or model.scorer()
-        return text.map(lambda t: scorer.score(t or ""))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer()
+        for strings in batches:
+            yield strings.map(lambda t: scorer.score(t or ""))
+        del scorer
+        return_memory()
 
     return docs.filter(score(docs["text"]) < 0.5)
 
