@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import shared_dir
+from bazaarlake.llm.common import shared_dir, task_count
 
 
 class DigestStore:
@@ -47,9 +47,12 @@ class DigestStore:
         self.location, self.table = fresh.location, fresh.table
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """As many buckets as the session has shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+ROWS_A_BUCKET = 50_000  # of the first batch
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets for an index that begins with docs: as task_count() says."""
+    return task_count(docs.sparkSession, docs.count(), ROWS_A_BUCKET)
 
 
 def digest_of(column) -> F.Column:

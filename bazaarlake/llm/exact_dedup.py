@@ -28,8 +28,8 @@ def normalised(text) -> F.Column:
 class ExactDedup:
     """Deduplicates batches against all earlier ones; `location` keeps the index between sessions."""
 
-    def __init__(self, spark: SparkSession, location: str | None = None, buckets: int | None = None):
-        self.index = DigestStore(spark, "keep_id BIGINT, batch STRING", location, buckets or buckets_for(spark))
+    def __init__(self, spark: SparkSession, location: str | None = None, buckets: int = 64):
+        self.index = DigestStore(spark, "keep_id BIGINT, batch STRING", location, buckets)
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """One row per row of docs: doc_id, digest, keep_id (the row that stays, of this batch or an
@@ -46,7 +46,8 @@ class ExactDedup:
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op7: every document with its keeper, group size and digest."""
     prepare(spark)
-    found = ExactDedup(spark).ingest(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    found = ExactDedup(spark, buckets=buckets_for(docs)).ingest(docs)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -41,10 +41,10 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs. `location` keeps them between sessions, `levels` says which runs there are."""
+    """The levelled runs, as tables of the session's catalog; `levels` names them and may be saved to go on with them."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
-        self.spark, self.buckets, self.fanout = spark, buckets or buckets_for(spark), fanout
+    def __init__(self, spark: SparkSession, buckets: int = 64, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = []
 
     def _write(self, rows: DataFrame) -> str:
@@ -86,7 +86,7 @@ class LineRuns:
 def dropped_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = BATCHES) -> DataFrame:
     """doc_id and the positions of the lines it loses. docs: (doc_id, text); runs hold earlier batches' keys, if any."""
     spark = docs.sparkSession
-    runs = runs or LineRuns(spark)
+    runs = runs or LineRuns(spark, buckets_for(docs))
     hashes = stored(line_hashes(docs.filter(F.col("doc_id").isNotNull())), "line-hashes")
     low, high = hashes.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:

@@ -80,9 +80,9 @@ def counter(path: str, ranks_path: str | None):
 class TokenCounter:
     """Counts tokens of batches through a cache that persists at `location`."""
 
-    def __init__(self, spark: SparkSession, path: str, ranks_path: str | None = None, location: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, ranks_path: str | None = None, location: str | None = None, buckets: int = 64):
         self.path, self.ranks_path, self.version = path, ranks_path, tokenizer_digest(path)
-        self.cache = DigestStore(spark, "tokenizer BINARY, n_tokens BIGINT", location, buckets or buckets_for(spark))
+        self.cache = DigestStore(spark, "tokenizer BINARY, n_tokens BIGINT", location, buckets)
 
     def count(self, docs: DataFrame) -> DataFrame:
         """One row per row of docs: doc_id, n_bytes, digest, n_tokens."""
@@ -109,5 +109,6 @@ class TokenCounter:
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op2: token counts of all documents."""
     prepare(spark)
-    counted = TokenCounter(spark, *default_files()).count(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    counted = TokenCounter(spark, *default_files(), buckets=buckets_for(docs)).count(docs)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
