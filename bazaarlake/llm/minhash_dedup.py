@@ -50,7 +50,7 @@ _BAND = _rng.integers(0, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64
 
 @lru_cache(maxsize=1)
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 400_000)
+    return Memo(xxhash.xxh3_64_intdigest, 120_000)
 
 
 def word_array(text: bytes) -> np.ndarray:
@@ -186,20 +186,18 @@ class NearDuplicates:
         spark = docs.sparkSession
         self.rows = stored(features(docs), "minhash-features")
         known = self.rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-        self.classes = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "minhash-classes")
-        reps = known.join(self.classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-        reps = stored(reps.select("doc_id", "sig", "bands"), "minhash-representatives")
+        classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("rep"), F.count("*").alias("rows"))
+        classes = stored(classes, "minhash-classes")
+        self.classes = classes.select("set_key", F.col("rep.doc_id").alias("rep"), "rows")
+        self.sigs = classes.select("rep.doc_id", "rep.sig")
         release(spark)
-        members = reps.select(F.explode("bands").alias("bucket"), "doc_id")
-        buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("members"))
+        members = classes.select(F.explode("rep.bands").alias("bucket"), F.col("rep.doc_id").alias("doc_id"))
+        buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
         buckets = stored(buckets.filter("least < greatest").drop("greatest"), "minhash-buckets")
-        total = buckets.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-        shared = lookup(members, buckets, "bucket", "members", total).filter(F.col("least").isNotNull())
-        self.members = stored(shared.select("bucket", "doc_id", "least"), "minhash-members")
+        # Both sides are dealt out for this join alone, so Spark splits a hot bucket's members over tasks.
+        self.members = stored(members.join(buckets, "bucket"), "minhash-members")
         release(spark)
-        self.sigs = reps.select("doc_id", "sig")
-        self.candidates = stored(self.members.select("doc_id").distinct(), "minhash-candidates")
-        wanted = docs.join(self.candidates.hint("shuffle_hash"), "doc_id", "left_semi")
+        wanted = docs.join(self.members.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
         self.sets = stored(shingle_sets(right_sized(wanted, self.rows.count(), DOCS_A_TASK)), "minhash-sets")
         release(spark)
         # 1: each bucket's members against its least one.
@@ -218,8 +216,8 @@ class NearDuplicates:
 
     def _named(self, labels: DataFrame) -> DataFrame:
         """The buckets' members with their components."""
-        names = self.candidates.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        return stored(self.members.join(names, "doc_id"), "minhash-named")
+        named = self.members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return stored(named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "minhash-named")
 
     def _across(self, labels: DataFrame) -> DataFrame:
         named = self._named(labels)
