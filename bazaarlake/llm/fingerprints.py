@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import documents, mix64, prepare, texts, utf8_list
+from bazaarlake.llm.common import documents, mix64, prepare, task_count, texts, utf8_list
 
 BINS, FIRST_LEVEL, LAST_LEVEL = 128, 2, 5
+DOCS_A_TASK = 4_000
 EMPTY = np.uint16(0xFFFF)
 CHUNK_BYTES = 2 << 20
 _LOWEST = -(2**63)
@@ -130,7 +131,7 @@ def as_hex(rows: np.ndarray) -> list[str]:
 def with_next(docs: DataFrame) -> DataFrame:
     """(range, ahead, doc_id, text), in order within partitions: each range's rows by descending doc_id, then (ahead) those that follow them."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = task_count(spark, docs.count(), DOCS_A_TASK)
     ids = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"))
     found = ids.agg(F.percentile_approx("id", F.array(*(F.lit(k / parts) for k in range(1, parts))), 50 * parts) if parts > 1 else F.array().alias("cuts")).first()[0]
     cuts = np.unique(np.array(found or [], np.int64))
@@ -151,7 +152,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     else:
         targets = F.array(F.struct(F.col("range"), F.lit(False).alias("ahead")))
     dealt = keyed.select(F.explode(targets).alias("t"), "doc_id", "text").select("t.range", "t.ahead", "doc_id", "text")
-    return dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), "text")
+    return dealt.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
