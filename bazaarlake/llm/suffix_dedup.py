@@ -8,8 +8,9 @@ left; a second order, by the words before, finds partners whose common part lies
 Windows reach far enough for consecutive matches to join, so long repeats come out whole.
 
 Documents with the same words form a class: its members are whole-text repeats of each other and only one
-of them goes through the suffix sort. First words that very many rows share are dealt out by the words
-that follow (or precede) and by document, so no group lands in one task.
+of them goes through the suffix sort. The suffixes whose first words very many rows share are cut into
+slices of their sorted order, and each slice is handed the nearest suffix of another document before and
+after it, so no group lands in one task and every suffix meets its neighbours all the same.
 
 Defined results: words are split at ASCII white space, A-Z lower-cased; texts of fewer than MIN_WORDS
 words (null and empty ones too) have no repeats; a null doc_id is ignored; rows with one doc_id are one
@@ -18,6 +19,7 @@ document, never its own partner; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from bazaarlake.llm.minhash_dedup import word_array
 MIN_WORDS, GRAM = 50, 8
 WINDOW = MIN_WORDS - GRAM + 1
 LEFT, RIGHT = MIN_WORDS - GRAM, MIN_WORDS
-HOT_ROWS, DEEPER = 20_000, 8  # rows of a first-words group before it is dealt out by DEEPER more words and by document
+HOT_ROWS, SLICE_SAMPLE = 20_000, 32  # rows of a first-words group before its order is cut into slices of about as many; rows looked at to place a cut
 CARRY, SUFFIXES_A_TASK = 512, 20_000
 _P = np.random.default_rng(7).integers(0, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,13 +112,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, fresh]) if held is not None else fresh
         skip = table.num_rows - fresh.num_rows
-        gram, doc, pos = (table.column(c).to_numpy() for c in ("gram", "doc_id", "pos"))
+        gram, part, doc, pos = (table.column(c).to_numpy() for c in ("gram", "slice", "doc_id", "pos"))
         right, left = (table.column(c).to_pylist() for c in ("right", "left"))
-        change = np.append(True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]))
+        change = np.append(True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
         run = np.maximum.accumulate(np.where(change, np.arange(len(doc)), 0))
         b = np.arange(skip, len(doc))
         a = run[b] - 1  # the last suffix before b's run of its own document
-        ok = (a >= 0) & (gram[np.maximum(a, 0)] == gram[b])
+        ok = (a >= 0) & (gram[np.maximum(a, 0)] == gram[b]) & (part[np.maximum(a, 0)] == part[b])
         # The first of a run also stands for the run before it towards what follows.
         a, b = a[ok], b[ok]
         if len(b):
@@ -133,16 +135,65 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.slice(max(run[-1] - 1, table.num_rows - CARRY))
 
 
+def _beyond(ends: list[tuple]) -> dict[int, tuple]:
+    """slice: the nearest suffix of another document that lies beyond its edge in the slices already passed.
+
+    ends: (slice, edge towards the passed slices, edge towards the coming ones, nearest to the latter of its gram
+    and another document within the slice or None), in the order of passing."""
+    out: dict[int, tuple] = {}
+    near = other = None  # the last suffix passed, and the last one of its gram and another document
+    for n, edge, far, far_other in ends:
+        if near and near[0] == edge[0] and (found := near if near[3] != edge[3] else other):
+            out[n] = found
+        if not far_other and near and near[0] == far[0]:  # the slice has one document only of that gram
+            far_other = near if near[3] != far[3] else other
+        near, other = far, far_other
+    return out
+
+
+def slices(hot: DataFrame, n_rows: int, order: list[str]) -> DataFrame:
+    """hot with `slice`, the place in the sorted order cut into slices of about HOT_ROWS rows, and to each slice also the nearest suffixes of other documents before and after it."""
+    spark = hot.sparkSession
+    plain = lambda r: None if r is None else tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)
+    n_slices = -(-n_rows // HOT_ROWS)
+    looked_at = hot.filter(F.pmod(F.xxhash64("gram", "doc_id", "pos"), F.lit(max(1, HOT_ROWS // SLICE_SAMPLE))) == 0)
+    sample = sorted(plain(r) for r in looked_at.select(*order).collect())
+    cuts = [sample[k * len(sample) // n_slices] for k in range(1, n_slices)] if sample else []
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([bisect_right(cuts, k) for k in keys], pa.int32())], [*order, "slice"])
+
+        return step
+
+    kinds = {"gram": "long", "doc_id": "long", "pos": "int", "right": "binary", "left": "binary"}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in order)
+    cut = stored(arrow_map(hot.select(*order), f"{schema}, slice int", make), "suffix-slices")
+    key = F.struct(*order)
+    ends = sorted((r["slice"], plain(r["low"]), plain(r["high"])) for r in cut.groupBy("slice").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect())
+    edges = F.broadcast(spark.createDataFrame([(n, low[0], low[3], high[0], high[3]) for n, low, high in ends], "slice int, low_gram long, low_doc long, high_gram long, high_doc long"))
+    after_low = F.when((F.col("gram") == F.col("low_gram")) & (F.col("doc_id") != F.col("low_doc")), key)
+    before_high = F.when((F.col("gram") == F.col("high_gram")) & (F.col("doc_id") != F.col("high_doc")), key)
+    within = {r["slice"]: (plain(r["low"]), plain(r["high"])) for r in cut.join(edges, "slice").groupBy("slice").agg(F.min(after_low).alias("low"), F.max(before_high).alias("high")).collect()}
+    before = _beyond([(n, low, high, within[n][1]) for n, low, high in ends])
+    after = _beyond([(n, high, low, within[n][0]) for n, low, high in reversed(ends)])
+    handed = spark.createDataFrame([(*k, n) for beyond in (before, after) for n, k in beyond.items()], f"{schema}, slice int")
+    return cut.unionByName(handed)
+
+
 def matches(rows: DataFrame, toward: str) -> DataFrame:
     """Spans of the suffixes' matches with their neighbours in the order by `toward` (right or left)."""
-    parts = task_count(rows.sparkSession, rows.count(), SUFFIXES_A_TASK)
-    # Words 0..GRAM of `right` are the gram itself.
-    deeper = F.substring("right", 4 * GRAM + 1, 4 * DEEPER) if toward == "right" else F.substring("left", 1, 4 * DEEPER)
-    dealt = F.when(F.col("rows") <= HOT_ROWS, F.xxhash64("gram")).otherwise(F.xxhash64("gram", deeper, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / HOT_ROWS).cast("long"))))
-    other = "left" if toward == "right" else "right"
-    order = rows.select("gram", "doc_id", "pos", "right", "left", dealt.alias("dealt"))
-    order = order.repartition(parts, "dealt").sortWithinPartitions("dealt", "gram", toward, other, "doc_id", "pos").drop("dealt")
-    return order.mapInArrow(_neighbours, "doc_id long, start_word long, end_word long, partner_id long")
+    is_hot = F.col("rows") > HOT_ROWS
+    total, n_hot = rows.agg(F.count("*"), F.count_if(is_hot)).first()
+    parts = task_count(rows.sparkSession, total, SUFFIXES_A_TASK)
+    order = ["gram", toward, "left" if toward == "right" else "right", "doc_id", "pos"]
+    placed = rows.filter(~is_hot).select(*order, F.lit(-1).alias("slice"))
+    if n_hot:
+        placed = placed.unionByName(slices(rows.filter(is_hot), n_hot, order))
+    dealt = F.when(F.col("slice") < 0, F.xxhash64("gram")).otherwise(F.xxhash64("slice"))
+    placed = placed.withColumn("dealt", dealt).repartition(parts, "dealt").sortWithinPartitions("dealt", "slice", *order).drop("dealt")
+    return placed.mapInArrow(_neighbours, "doc_id long, start_word long, end_word long, partner_id long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

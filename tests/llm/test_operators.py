@@ -165,6 +165,39 @@ def test_suffix_dedup(spark, hard):
     assert got == repeated_words(rows)
 
 
+def passage_words(spark, rows) -> dict:
+    got: dict = {}
+    for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    return got
+
+
+def test_suffix_dedup_around_widely_shared_words(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 4)
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abdeginorst") for _ in range(6)) for _ in range(n))
+    header, around = prose(30), [(prose(10), prose(10)) for _ in range(8)]
+    texts = [f"{prose(40)} {header} {prose(40)}" for _ in range(50)]
+    texts += [f"{prose(40)} {before} {header} {after} {prose(40)}" for before, after in around for _ in range(2)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = repeated_words(rows)
+    assert len(want) == 16 and passage_words(spark, rows) == want
+
+
+def test_suffix_slices_lose_no_neighbour(spark, monkeypatch):
+    rng = random.Random(8)
+    context = lambda n: b"".join(bytes([0, 0, 0, rng.choice(b"aab")]) for _ in range(n))
+    few = [(context(42), context(42)) for _ in range(6)]
+    rows = [(g, 60, rng.choice((1, 1, 1, 2, 3)), pos, bytes(32) + (c := rng.choice(few))[0], c[1]) for g in (-5, 7) for pos in range(100, 160)]
+    rows = spark.createDataFrame(rows, "gram long, rows long, doc_id long, pos int, right binary, left binary")
+    for toward in ("right", "left"):
+        monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 60)
+        want = set(map(tuple, suffix_dedup.matches(rows, toward).collect()))
+        monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
+        assert want and set(map(tuple, suffix_dedup.matches(rows, toward).collect())) >= want
+
+
 def test_packing(spark, hard):
     from tokenizers import Tokenizer
 
