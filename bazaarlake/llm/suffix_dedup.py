@@ -34,7 +34,7 @@ MIN_WORDS, GRAM = 50, 8
 WINDOW = MIN_WORDS - GRAM + 1
 LEFT, RIGHT = MIN_WORDS - GRAM, MIN_WORDS
 HOT_ROWS, SLICE_SAMPLE = 20_000, 32  # rows of a first-words group before its order is cut into slices of about as many; rows looked at to place a cut
-CARRY, SUFFIXES_A_TASK = 512, 20_000
+SUFFIXES_A_TASK = 20_000
 _P = np.random.default_rng(7).integers(0, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -132,7 +132,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.concatenate([pos[a] - behind, pos[b] - behind])
                 ends = np.concatenate([pos[a] + ahead, pos[b] + ahead])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts.astype(np.int64)), pa.array(ends.astype(np.int64)), pa.array(mates)], ["doc_id", "start_word", "end_word", "partner_id"])
-        held = table.slice(max(run[-1] - 1, table.num_rows - CARRY))
+        # The last suffix of the run before the open one, whatever the open one's length, and the open one's last.
+        held = table.take([*range(max(run[-1] - 1, 0), run[-1]), table.num_rows - 1])
 
 
 def _beyond(ends: list[tuple]) -> dict[int, tuple]:

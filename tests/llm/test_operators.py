@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,19 @@ def test_suffix_dedup_around_widely_shared_words(spark, monkeypatch):
     assert len(want) == 16 and passage_words(spark, rows) == want
 
 
+def neighbour_spans(rows, batch_rows: int) -> set:
+    """Spans found among sorted (gram, doc_id, pos) with equal contexts."""
+    columns = [[r[0] for r in rows], [-1] * len(rows), [r[1] for r in rows], [r[2] for r in rows], [bytes(200)] * len(rows), [bytes(168)] * len(rows)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    table = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "slice", "doc_id", "pos", "right", "left"])
+    return {tuple(r.values()) for b in suffix_dedup._neighbours(iter(table.to_batches(batch_rows))) for r in b.to_pylist()}
+
+
+def test_suffix_runs_longer_than_a_batch(spark):
+    got = neighbour_spans([(5, 1, 42), *((5, 2, 42 + 92 * k) for k in range(1500))], 300)
+    assert got >= {(2, 92 * k, 92 * k + 92, 1) for k in range(1500)}
+
+
 def test_suffix_slices_lose_no_neighbour(spark, monkeypatch):
     rng = random.Random(8)
     context = lambda n: b"".join(bytes([0, 0, 0, rng.choice(b"aab")]) for _ in range(n))
