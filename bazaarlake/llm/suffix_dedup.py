@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,24 +105,35 @@ def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare sorted suffixes with the nearest ones of other documents; give both sides' spans of each match."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        fresh = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, fresh]) if held is not None else fresh
-        skip = table.num_rows - fresh.num_rows
+    """Compare sorted suffixes with the nearest ones of other documents on both sides; give both sides' spans of each match."""
+    held: list[pa.Table] = []  # the last suffix of the run before the open one (if any), and the open run: at most a group or slice
+    anchor, last = 0, None  # rows of held before the open run; gram, slice and doc_id of the open run
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            edge = [tuple(batch.column(c)[k].as_py() for c in ("gram", "slice", "doc_id")) for k in (0, batch.num_rows - 1)]
+            if last == edge[0] == edge[1] and np.ptp(batch.column("doc_id").to_numpy()) == 0:
+                continue
+        if not held:
+            return
+        table = pa.concat_tables(held).combine_chunks()
         gram, part, doc, pos = (table.column(c).to_numpy() for c in ("gram", "slice", "doc_id", "pos"))
-        right, left = (table.column(c).to_pylist() for c in ("right", "left"))
-        change = np.append(True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
-        run = np.maximum.accumulate(np.where(change, np.arange(len(doc)), 0))
-        b = np.arange(skip, len(doc))
-        a = run[b] - 1  # the last suffix before b's run of its own document
-        ok = (a >= 0) & (gram[np.maximum(a, 0)] == gram[b]) & (part[np.maximum(a, 0)] == part[b])
-        # The first of a run also stands for the run before it towards what follows.
+        opens = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])))
+        run = np.repeat(opens, np.diff(np.append(opens, len(doc))))
+        end = np.repeat(np.append(opens[1:], len(doc)), np.diff(np.append(opens, len(doc))))
+        closed = np.arange(anchor, opens[-1] if batch is not None else len(doc))
+        # Every suffix with the last one of the run before its document's run and with the first one of the run after
+        # it; a run's last suffix meets the latter as that one's neighbour before.
+        inner = closed[closed < end[closed] - 1]
+        a, b = np.concatenate([run[closed] - 1, inner]), np.concatenate([closed, end[inner]])
+        ok = (a >= 0) & (b < len(doc))
+        a, b = a[ok], b[ok]
+        ok = (gram[a] == gram[b]) & (part[a] == part[b])
         a, b = a[ok], b[ok]
-        if len(b):
+        if len(a):
+            right, left = (table.column(c).to_pylist() for c in ("right", "left"))
             ahead = _common([right[i] for i in a], [right[i] for i in b])
             behind = _common([left[i] for i in a], [left[i] for i in b])
             match = (ahead + behind >= MIN_WORDS) & (ahead >= GRAM)
@@ -132,8 +144,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.concatenate([pos[a] - behind, pos[b] - behind])
                 ends = np.concatenate([pos[a] + ahead, pos[b] + ahead])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts.astype(np.int64)), pa.array(ends.astype(np.int64)), pa.array(mates)], ["doc_id", "start_word", "end_word", "partner_id"])
-        # The last suffix of the run before the open one, whatever the open one's length, and the open one's last.
-        held = table.take([*range(max(run[-1] - 1, 0), run[-1]), table.num_rows - 1])
+        anchor, last = int(opens[-1] > 0), (gram[-1], part[-1], doc[-1])
+        held = [pa.concat_tables([table.take([opens[-1] - 1]), table.slice(opens[-1])]) if anchor else table]
 
 
 def _beyond(ends: list[tuple]) -> dict[int, tuple]:

@@ -199,6 +199,24 @@ def test_suffix_runs_longer_than_a_batch(spark):
     assert got >= {(2, 92 * k, 92 * k + 92, 1) for k in range(1500)}
 
 
+@pytest.mark.parametrize("batch_rows", [1, 3, 300, 5000])
+def test_suffix_runs_meet_both_neighbours(spark, batch_rows):
+    rows = [(5, 1, 42), *((5, 2, 42 + 92 * k) for k in range(700)), (5, 3, 42), (6, 2, 42), (6, 2, 142), (6, 4, 42)]
+    got = neighbour_spans(rows, batch_rows)
+    assert got == {(2, 92 * k, 92 * k + 92, mate) for k in range(700) for mate in (1, 3)} | {(mate, 0, 92, 2) for mate in (1, 3, 4)} | {(2, 0, 92, 4), (2, 100, 192, 4)}
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (2, 1)])
+def test_suffix_dedup_of_several_copies(spark, ids):
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abdeginorst") for _ in range(6)) for _ in range(n))
+    passage = prose(150)
+    several = " ".join(f"{prose(30)} {passage}" for _ in range(4))
+    rows = [(ids[0], f"{several} {prose(20)}"), (ids[1], f"{prose(40)} {passage} {prose(50)}")]
+    want = repeated_words(rows)
+    assert len(want[ids[0]]) == 600 and passage_words(spark, rows) == want
+
+
 def test_suffix_slices_lose_no_neighbour(spark, monkeypatch):
     rng = random.Random(8)
     context = lambda n: b"".join(bytes([0, 0, 0, rng.choice(b"aab")]) for _ in range(n))
