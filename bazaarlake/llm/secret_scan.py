@@ -2,7 +2,8 @@
 
 Each text is scanned for credentials of the base kinds and for long random-looking tokens. The hashes of
 all candidates' values are then counted over the corpus by distinct repositories and owners: a value that
-several repositories hold is a widely copied example, one that only its owner has looks live. Base spans
+several repositories of several owners hold is a widely copied example, one that only its owner has, in
+however many repositories, looks live. Where the table names no owner, repositories alone decide. Base spans
 are all reported, with their verdict; a token is reported only when it looks live.
 
 Counts are pre-aggregated by (value, repository, owner) before they are counted by value, and values are
@@ -25,7 +26,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 KINDS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}", "token": r"[A-Za-z0-9_-]{24,}"}
 ORDER = list(KINDS)
 VALUE_CHARS = 12  # of an assignment's value
-EXAMPLE_REPOSITORIES = 3  # a value in so many repositories is an example
+EXAMPLE_REPOSITORIES, EXAMPLE_OWNERS = 3, 2  # a value in so many repositories, of so many owners, is an example
 MARK, STAND_IN = "\ue000", "\ue001"
 MASK = "[SECRET]"
 
@@ -58,11 +59,11 @@ def _report(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", names[s["ord"]], s["start"], s["end"])), ",")
 
 
-def scanned(docs: DataFrame, repository: str, owner: str) -> DataFrame:
+def scanned(docs: DataFrame, repository: str, owner: str | None) -> DataFrame:
     """One row per row of docs: doc_id, text_key, repository, owner, base and token spans. docs has the text itself no more."""
     text = F.coalesce(docs["text"], F.lit(""))
     safe = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)  # no pattern has either character
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_key"), docs[repository].cast("string").alias("repository"), docs[owner].cast("string").alias("owner"), safe.alias("safe"))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_key"), docs[repository].cast("string").alias("repository"), (docs[owner] if owner else F.lit(None)).cast("string").alias("owner"), safe.alias("safe"))
     assign = F.filter(_spans(F.col("safe"), "assign"), lambda s: F.length(_value(s)) >= VALUE_CHARS)
     rows = rows.select("*", assign.alias("assign"), _spans(F.col("safe"), "access").alias("access"), _spans(F.col("safe"), "hex").alias("hex"), _spans(F.col("safe"), "token").alias("long")).drop("safe")
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
@@ -73,8 +74,8 @@ def scanned(docs: DataFrame, repository: str, owner: str) -> DataFrame:
     return stored(rows.select("doc_id", "text_key", "repository", "owner", *sizes, "base", tokens.alias("tokens")), "secret-spans")
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """doc_id, text_key and the spans of every row that has any, each with `live`. Tokens that don't look live are left out."""
+def verdicts(rows: DataFrame, owned: bool) -> DataFrame:
+    """doc_id, text_key and the spans of every row that has any, each with `live`; owned: owners count. Tokens that don't look live are left out."""
     every = rows.select("doc_id", "text_key", "repository", "owner", F.explode(F.concat("base", "tokens")).alias("span"))
     every = stored(every.select("doc_id", "text_key", "repository", "owner", "span", F.unhex(F.sha2(_value(F.col("span")), 256)).alias("hash")), "secret-candidates")
     held = every.groupBy("hash", "repository", "owner").agg(F.count("*").alias("n"))
@@ -82,21 +83,24 @@ def verdicts(rows: DataFrame) -> DataFrame:
     of_value = stored(held.groupBy("hash").agg(F.count_distinct(known("repository")).alias("repositories"), F.count_distinct(known("owner")).alias("owners"), F.sum("n").alias("rows")), "secret-owners")
     total = of_value.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     judged = lookup(every.drop("repository", "owner"), of_value, "hash", "rows", total)
-    judged = judged.withColumn("live", F.col("repositories") < EXAMPLE_REPOSITORIES).filter(F.col("live") | (F.col("span.ord") < ORDER.index("token")))
+    live = F.col("repositories") < EXAMPLE_REPOSITORIES
+    if owned:
+        live |= F.col("owners") < EXAMPLE_OWNERS
+    judged = judged.withColumn("live", live).filter(F.col("live") | (F.col("span.ord") < ORDER.index("token")))
     return judged.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("all"), F.collect_set(F.when(F.col("live"), F.col("span"))).alias("live"))
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "lang") -> DataFrame:
+def scan(docs: DataFrame, repository: str = "source", owner: str | None = None) -> DataFrame:
     """One row per row of docs: counts of the base kinds, digest of the base spans, all spans, live ones and examples."""
     rows = scanned(docs, repository, owner)
-    judged = verdicts(rows).withColumnsRenamed({"doc_id": "judged_id", "text_key": "judged_key"})
+    judged = verdicts(rows, owner is not None).withColumnsRenamed({"doc_id": "judged_id", "text_key": "judged_key"})
     joined = rows.join(judged, rows["doc_id"].eqNullSafe(judged["judged_id"]) & (rows["text_key"] == judged["judged_key"]), "left")
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_report(F.col("base")), 256).alias("base_sha256"), F.coalesce(_report(F.col("all")), F.lit("")).alias("spans"), F.coalesce(_report(F.col("live")), F.lit("")).alias("live_spans"))
 
 
-def redact(docs: DataFrame, repository: str = "source", owner: str = "lang") -> DataFrame:
+def redact(docs: DataFrame, repository: str = "source", owner: str | None = None) -> DataFrame:
     """docs, all their columns, with the live-looking values in text masked; examples stay."""
-    live = verdicts(scanned(docs, repository, owner)).filter(F.size("live") > 0).select(F.col("doc_id").alias("live_id"), F.col("text_key").alias("live_key"), "live")
+    live = verdicts(scanned(docs, repository, owner), owner is not None).filter(F.size("live") > 0).select(F.col("doc_id").alias("live_id"), F.col("text_key").alias("live_key"), "live")
     own_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     joined = docs.join(live, docs["doc_id"].eqNullSafe(live["live_id"]) & (own_key == live["live_key"]), "left")
     text = docs["text"]
