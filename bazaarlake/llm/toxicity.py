@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from bazaarlake.llm.common import Memo, arrow_map, documents, prepare, return_memory, texts
 
 TRAIN_ROWS = 20_000
-LEXICON_TERMS, EXCLUDED_WORDS = 300, 5_000  # bounds of what training brings to the driver
 LEAST_ROOT, LEAST_RATIO, LEAST_TEXTS = 6.0, 8.0, 5  # signed root of the log-likelihood ratio, ratio of frequencies, toxic texts
 WINDOW = 5
 MEMO_WORDS, STATES = 120_000, 50_000
@@ -202,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     part = lambda seen, size: F.when(seen > 0, seen * F.log(seen / (expected * size))).otherwise(0.0)
     root = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(F.col("t"), toxic) + part(F.col("n"), clean))))
     ratio = (F.col("t") / toxic) / ((F.col("n") + 0.5) / clean)
-    found = counts.filter((F.col("t") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (root >= LEAST_ROOT)).orderBy(root.desc(), "word").limit(LEXICON_TERMS)
+    found = counts.filter((F.col("t") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (root >= LEAST_ROOT)).orderBy(root.desc(), "word")  # of the words of TRAIN_ROWS texts at most
     model = ToxicityModel([r["word"] for r in found.select("word").collect()])
     terms = model.terms
 
@@ -211,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         return lambda batch: batch.filter(pa.array([bool((f := automaton.find(w)) and f[1]) for w in batch.column(0).to_pylist()], pa.bool_()))
 
     near = arrow_map(counts.filter("n > 0").select("word", "n"), "word string, n long", make)
-    model.excluded = frozenset(r["word"] for r in near.orderBy(F.desc("n"), "word").limit(EXCLUDED_WORDS).collect())
+    model.excluded = frozenset(r["word"] for r in near.select("word").collect())
 
     def featured():
         scorer = model.scorer()

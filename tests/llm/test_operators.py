@@ -403,6 +403,14 @@ def base_spans(t):
     return sorted(found)
 
 
+def test_toxicity_lexicon_keeps_every_term(spark):
+    rng = random.Random(3)
+    terms = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(10)) for _ in range(330)]
+    rows = [(i, " ".join(terms), 1) for i in range(60)] + [(60 + i, f"plain words of text {i}", 0) for i in range(300)]
+    rows = spark.createDataFrame([(i, f"{t} n{i}", x) for i, t, x in rows], "doc_id long, text string, toxic int")
+    assert set(terms) <= set(toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).terms)
+
+
 def test_secret_scan(spark, hard):
     folder, rows = hard
     want = {}
