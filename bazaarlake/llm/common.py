@@ -4,7 +4,6 @@ folder (lineage cuts that outlive executors), bounded Arrow batches and skew-saf
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -14,7 +13,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -24,7 +24,9 @@ BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches (texts may be very long) and let Python workers import this package."""
+    """Bound the Arrow batches (texts may be very long), drop a query's shuffle files as soon as it has ended, and let
+    Python workers import this package. Results are lazy, so these settings of the session stay."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
@@ -63,10 +65,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases now rather than at some later GC."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def log_rows(spark: SparkSession, path: str, schema: str) -> list:
+    """The rows of a small JSON log at path, none if there is no log yet."""
+    try:
+        return spark.read.schema(schema).json(path).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often (also within lambdas) body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def task_count(spark: SparkSession, rows: int, rows_a_task: int) -> int:

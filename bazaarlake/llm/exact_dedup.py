@@ -39,7 +39,7 @@ class ExactDedup:
         fresh = self.index.missing(groups.select("digest", F.col("first_id").alias("keep_id")))
         self.index.append(fresh.withColumn("batch", F.lit(uuid.uuid4().hex)))
         total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-        owners = groups.select("digest", "group_size").join(self.index.rows().select("digest", "keep_id"), "digest")
+        owners = groups.select("digest", "group_size").join(self.index.rows().groupBy("digest").agg(F.min("keep_id").alias("keep_id")), "digest")
         return lookup(hashed, owners, "digest", "group_size", total)
 
 

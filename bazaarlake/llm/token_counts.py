@@ -90,9 +90,8 @@ class TokenCounter:
         hashed = stored(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest_of("text").alias("digest")), "token-hashes")
         groups = stored(hashed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).withColumn("tokenizer", version), "token-groups")
         misses = self.cache.missing(groups, "tokenizer").select("digest", "rep")
-        keyed = source.withColumn("key", digest_of("text"))
-        # A miss is encoded where its representative row lands; the small side is the hash table.
-        wanted = keyed.join(misses.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(misses["rep"]) & (keyed["key"] == misses["digest"]), "left_semi").select("key", "text")
+        # A miss is encoded where its representative row lands.
+        wanted = source.join(misses, source["doc_id"].eqNullSafe(misses["rep"])).filter(digest_of("text") == F.col("digest")).select("digest", "text")
         path, ranks_path = self.path, self.ranks_path
 
         def make():
@@ -102,7 +101,7 @@ class TokenCounter:
         encoded = arrow_map(wanted, "digest binary, n_tokens long", make)
         self.cache.append(encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).withColumn("tokenizer", version))
         total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-        known = groups.select("digest", "rows").join(self.cache.rows().filter(F.col("tokenizer") == version).select("digest", "n_tokens"), "digest")
+        known = groups.select("digest", "rows").join(self.cache.rows().filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest")
         return lookup(hashed, known, "digest", "rows", total).drop("rows")
 
 
