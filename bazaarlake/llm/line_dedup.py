@@ -6,12 +6,16 @@ what is new becomes a run of level 0. When a level has FANOUT runs they are merg
 level, so there are few runs whatever the number of batches. Batches go up in doc_id, so a key's first
 document is the smallest that holds it. Lines whose key has an earlier document are dropped.
 
-Keys are 128-bit digests: at 10**12 lines the chance of any collision is about 10**-15.
+The runs lie in a folder with a log of which of them are current after each change, so a later session goes
+on where an earlier one ended. One writer at a time.
+
+Keys are the first 128 bits of SHA-256: at 10**12 lines the chance of any collision is about 10**-15.
 
 Defined results: a null or empty text is one empty line; keys shorter than MIN_CHARS code points never
 match; repeated lines within a key's first document all stay; rows repeated with the same doc_id are one
-document, so none of their lines is dropped on account of the other; rows with a null doc_id are never
-first and keep all their lines; other columns pass through `clean` untouched."""
+document, so none of their lines is dropped on account of the other, and each row loses its own lines only
+where their texts differ; rows with a null doc_id are never first and keep all their lines; an empty table
+gives no rows; other columns pass through `clean` untouched."""
 
 from __future__ import annotations
 
@@ -20,12 +24,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import documents, lookup, prepare, release, stored, texts
+from bazaarlake.llm.common import documents, let, log_rows, lookup, prepare, shared_dir, stored, texts
 from bazaarlake.llm.digest_store import buckets_for
 
 MIN_CHARS, FANOUT, BATCHES = 10, 4, 4
 SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOG = "version long, level int, folder string, buckets int"
+ROW = ["doc_id", "text_key"]  # rows that share both are equal
 
 
 def line_key(line) -> F.Column:
@@ -35,21 +41,40 @@ def line_key(line) -> F.Column:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, hash) of the lines that may match."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
-    return lines.filter(F.length("key") >= MIN_CHARS).select("doc_id", "pos", F.unhex(F.md5("key")).alias("hash"))
+    """(doc_id, text_key, pos, hash) of the lines that may match."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
+    lines = keyed.select(*ROW, F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line")))
+    return lines.filter(F.length("key") >= MIN_CHARS).select(*ROW, "pos", F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("hash"))
 
 
 class LineRuns:
-    """The levelled runs, as tables of the session's catalog; `levels` names them and may be saved to go on with them."""
+    """The levelled runs at `location`; opening the location again, in any session, goes on with them. `levels` names their tables."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 64, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, buckets: int = 64, fanout: int = FANOUT, location: str | None = None):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.location = (location or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}").rstrip("/")
         self.levels: list[list[str]] = []
+        self.folders: dict[str, tuple[str, int]] = {}  # table: its folder and bucket count
+        logged = log_rows(spark, f"{self.location}/log", LOG)
+        self.version = max((r["version"] for r in logged), default=-1)
+        for r in sorted(r for r in logged if r["version"] == self.version):
+            self._at(r["level"]).append(self._opened(r["folder"], r["buckets"]))
 
-    def _write(self, rows: DataFrame) -> str:
+    def _at(self, level: int) -> list[str]:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        return self.levels[level]
+
+    def _opened(self, folder: str, buckets: int) -> str:
         table = f"line_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").format("parquet").saveAsTable(table)
+        self.spark.sql(f"CREATE TABLE {table} (hash BINARY, first_id BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{self.location}/{folder}'")
+        self.folders[table] = folder, buckets
+        return table
+
+    def _write(self, rows: DataFrame) -> str:
+        table = self._opened(f"run-{uuid.uuid4().hex}", self.buckets)
+        rows.select("hash", "first_id").repartition(self.buckets, "hash").sortWithinPartitions("hash").write.insertInto(table)
+        self.spark.catalog.refreshTable(table)
         return table
 
     def runs(self) -> list[DataFrame]:
@@ -67,11 +92,12 @@ class LineRuns:
         for run in self.runs():
             keys = keys.join(run.select("hash").hint("merge"), "hash", "left_anti")
         self._place(0, self._write(keys))
+        self.version += 1
+        current = [(self.version, level, *self.folders[t]) for level, tables in enumerate(self.levels) for t in tables]
+        self.spark.createDataFrame(current, LOG).coalesce(1).write.mode("append").json(f"{self.location}/log")
 
     def _place(self, level: int, table: str) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(table)
+        self._at(level).append(table)
         if len(self.levels[level]) >= self.fanout:
             old, merged = self.levels[level], None
             for t in old:
@@ -79,39 +105,43 @@ class LineRuns:
             fresh = self._write(merged)
             self.levels[level] = []
             for t in old:
-                self.spark.sql(f"DROP TABLE {t}")
+                self.spark.sql(f"DROP TABLE {t}")  # its files stay for whoever still reads them
             self._place(level + 1, fresh)
 
 
 def dropped_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = BATCHES) -> DataFrame:
-    """doc_id and the positions of the lines it loses. docs: (doc_id, text); runs hold earlier batches' keys, if any."""
+    """doc_id, text_key and the positions of the lines that the row loses. docs: (doc_id, text); runs hold earlier batches' keys, if any."""
     spark = docs.sparkSession
     runs = runs or LineRuns(spark, buckets_for(docs))
     hashes = stored(line_hashes(docs.filter(F.col("doc_id").isNotNull())), "line-hashes")
-    low, high = hashes.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high, total = hashes.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     if low is None:
-        return hashes.groupBy("doc_id").agg(F.collect_set("pos").alias("lost"))
+        return hashes.groupBy(*ROW).agg(F.collect_set("pos").alias("lost"))
     step = max(1, -(-(high - low + 1) // batches))
     for start in range(low, high + 1, step):
         own = hashes.filter((F.col("doc_id") >= start) & (F.col("doc_id") < start + step))
         runs.add(own.groupBy("hash").agg(F.min("doc_id").alias("first_id")))
     keys = hashes.groupBy("hash").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("rows"))
     matched = keys.join(runs.rows(), "hash").filter(F.col("last_id") > F.col("first_id")).select("hash", "first_id", "rows")
-    lost = lookup(hashes, stored(matched, "line-matches"), "hash", "rows", hashes.count()).filter(F.col("doc_id") > F.col("first_id"))
-    return lost.groupBy("doc_id").agg(F.collect_set("pos").alias("lost"))
+    lost = lookup(hashes, stored(matched, "line-matches"), "hash", "rows", total).filter(F.col("doc_id") > F.col("first_id"))
+    return lost.groupBy(*ROW).agg(F.collect_set("pos").alias("lost"))
 
 
 def without_lost(text, lost) -> F.Column:
-    """text without the lines at the positions in lost (null: none)."""
-    lines = F.split(text, "\n")
-    return F.when(lost.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(lost, i)), "\n"))
+    """text without the lines at the positions in lost (null: none), in time linear in the number of lines."""
+
+    def kept(both) -> F.Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(both["lines"]) - 1), both["lost"])
+        return F.array_join(F.transform(places, lambda k: both["lines"][k]), "\n")
+
+    return F.when(lost.isNull(), text).otherwise(let(F.struct(F.split(text, "\n").alias("lines"), lost.alias("lost")), kept))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs, all their columns, with repeated lines gone from text."""
-    lost = dropped_lines(texts(docs)).withColumnsRenamed({"doc_id": "lost_from"})
+    lost = dropped_lines(texts(docs)).withColumnsRenamed({"doc_id": "lost_from", "text_key": "lost_key"})
     at = docs.columns.index("text")
-    joined = docs.join(lost, docs["doc_id"] == lost["lost_from"], "left")
+    joined = docs.join(lost, (docs["doc_id"] == lost["lost_from"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["lost_key"]), "left")
     text = F.when(lost["lost"].isNull(), docs["text"]).otherwise(without_lost(docs["text"], lost["lost"])).alias("text")
     return joined.select(*(text if i == at else docs[c] for i, c in enumerate(docs.columns)))
 
@@ -120,9 +150,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op8: every document's line counts and the digest of what stays."""
     prepare(spark)
     docs = texts(documents(spark, sf_dir))
-    lost = dropped_lines(docs)
-    release(spark)
-    joined = docs.join(lost, "doc_id", "left")
+    joined = docs.withColumn("text_key", F.xxhash64("text")).join(dropped_lines(docs), ROW, "left")
     return joined.select(
         "doc_id",
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
