@@ -4,12 +4,15 @@ Documents with equal shingle sets form a class, and classes are compared. A clas
 BANDS x BAND_ROWS min-hashes; classes that share a band are candidates. Candidates' signatures are
 compared batch by batch; after each batch a pair goes if the posterior probability (uniform prior) that
 its similarity reaches THRESHOLD is below MISS. Pairs that survive are verified on their full sets, so
-every link is exact; only a link whose pair shares no band is lost, with probability at most
-(1 - THRESHOLD**BAND_ROWS)**BANDS, about 1e-5 at the threshold and less above it.
+every link is exact. A link is lost in two ways only: its pair shares no band, with probability at most
+(1 - THRESHOLD**BAND_ROWS)**BANDS, about 1e-5 at the threshold and less above it; or one of the HASHES / BATCH
+looks at its signatures finds the threshold implausible, with a posterior of less than MISS at each look. (A lost
+link splits a component only if no other path joins its ends.)
 
 No bucket's pairs are emitted. A bucket's members are compared with its least member; then, in the
 buckets that still hold several components, members of different components are compared inside a join
-by their odd sketches. (An odd sketch has bit i set if
+by their odd sketches. There a bucket is dealt into blocks of about BLOCK_MEMBERS, and each pair of blocks is a
+group of its own, so no bucket, however large, is one task's burden. (An odd sketch has bit i set if
 an odd number of the set's hashes fall on i, so two sketches differ in no more bits than the sets have
 differing members, and a pair that differs in more than the threshold allows is ruled out with
 certainty.) Members that are already connected need no comparison, and any two others in a bucket have
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import Memo, arrow_map, documents, lookup, mix64, prepare, release, right_sized, stored, texts, utf8_list
+from bazaarlake.llm.common import Memo, arrow_map, documents, lookup, mix64, prepare, right_sized, stored, texts, utf8_list
 from bazaarlake.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, (75, 100)
@@ -40,6 +43,7 @@ MISS = 1e-6
 HASHES = BANDS * BAND_ROWS
 DOCS_A_TASK, PAIRS_A_TASK = 4_000, 5_000  # of Python tasks
 ODD_LONGS = 32  # 64-bit words of an odd sketch
+BLOCK_MEMBERS = 1_000
 _BLOCK = 512
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,16 +194,13 @@ class NearDuplicates:
         classes = stored(classes, "minhash-classes")
         self.classes = classes.select("set_key", F.col("rep.doc_id").alias("rep"), "rows")
         self.sigs = classes.select("rep.doc_id", "rep.sig")
-        release(spark)
         members = classes.select(F.explode("rep.bands").alias("bucket"), F.col("rep.doc_id").alias("doc_id"))
         buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
         buckets = stored(buckets.filter("least < greatest").drop("greatest"), "minhash-buckets")
         # Both sides are dealt out for this join alone, so Spark splits a hot bucket's members over tasks.
         self.members = stored(members.join(buckets, "bucket"), "minhash-members")
-        release(spark)
-        wanted = docs.join(self.members.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+        wanted = docs.join(self.members.select("doc_id").distinct(), "doc_id", "left_semi")
         self.sets = stored(shingle_sets(right_sized(wanted, self.rows.count(), DOCS_A_TASK)), "minhash-sets")
-        release(spark)
         # 1: each bucket's members against its least one.
         first = self.members.filter("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
         labels = stored(connected_components(self._verified(first)), "minhash-labels")
@@ -211,7 +212,6 @@ class NearDuplicates:
         pairs = stored(pairs, "minhash-pairs")
         kept = stored(plausible(pairs, self.sigs, pairs.count()), "minhash-plausible")
         links = stored(exact_links(kept, self.sets, kept.count()), "minhash-links")
-        release(links.sparkSession)
         return links
 
     def _named(self, labels: DataFrame) -> DataFrame:
@@ -221,14 +221,17 @@ class NearDuplicates:
 
     def _across(self, labels: DataFrame) -> DataFrame:
         named = self._named(labels)
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks")).filter("low < high").select("bucket", "blocks")
         sketches = self.sets.select("doc_id", "size", *(F.col("odd")[k].alias(f"odd{k}") for k in range(ODD_LONGS)))
-        left = stored(named.join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "component").join(sketches, "doc_id"), "minhash-mixed")
-        a, b = left.alias("a"), left.alias("b")
+        members = named.join(mixed, "bucket").select("bucket", "blocks", "doc_id", "component").join(sketches, "doc_id")
+        members = stored(members.withColumn("own", F.expr("CAST(pmod(xxhash64(doc_id), blocks) AS INT)")), "minhash-mixed")
+        others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        a, b = members.withColumnRenamed("own", "row").withColumn("column", others).alias("a"), members.withColumnRenamed("own", "column").withColumn("row", others).alias("b")
         differing = " + ".join(f"bit_count(a.odd{k} ^ b.odd{k})" for k in range(ODD_LONGS))
         part, whole = THRESHOLD  # at similarity s, sets of sizes x and y differ in (x + y) (1 - s) / (1 + s) members
         near = F.expr(f"({differing}) * {whole + part} <= (a.size + b.size) * {whole - part}")
-        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")) & near)
+        met = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.row") == F.col("b.row")) & (F.col("a.column") == F.col("b.column"))
+        pairs = a.join(b, met & (F.col("a.component") < F.col("b.component")) & near)
         return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
     def components(self) -> DataFrame:
@@ -255,3 +258,15 @@ def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = NearDuplicates(texts(documents(spark, sf_dir))).components()
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+MINHASH_DEDUP_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.size + y.size - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT w.doc_id, coalesce(any_value(n.size), 0) AS n_shingles, min(reached) AS component_id, w.doc_id = min(reached) AS kept FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
+"""
