@@ -5,11 +5,11 @@ from __future__ import annotations
 from bazaarlake.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from bazaarlake.llm.fingerprints import document_fingerprints
 from bazaarlake.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
-from bazaarlake.llm.minhash_dedup import minhash_dedup
+from bazaarlake.llm.minhash_dedup import MINHASH_DEDUP_SQL, minhash_dedup
 from bazaarlake.llm.packing import best_fit_packing
-from bazaarlake.llm.secret_scan import secret_scan
+from bazaarlake.llm.secret_scan import SECRET_SCAN_SQL, secret_scan
 from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
-from bazaarlake.llm.suffix_dedup import suffix_dedup
+from bazaarlake.llm.suffix_dedup import SUFFIX_DEDUP_SQL, suffix_dedup
 from bazaarlake.llm.token_counts import token_counts
 from bazaarlake.llm.toxicity import toxicity
 
@@ -27,6 +27,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_minhash_dedup": MINHASH_DEDUP_SQL,
+    "op3_suffix_dedup": SUFFIX_DEDUP_SQL,
     "op7_exact_dedup": EXACT_DEDUP_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
+    "op9_secret_scan": SECRET_SCAN_SQL,
 }

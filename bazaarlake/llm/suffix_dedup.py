@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import arrow_map, documents, lookup, mix64, prepare, release, stored, task_count, texts, utf8_list
+from bazaarlake.llm.common import arrow_map, documents, lookup, mix64, prepare, stored, task_count, texts, utf8_list
 from bazaarlake.llm.minhash_dedup import word_array
 
 MIN_WORDS, GRAM = 50, 8
@@ -61,7 +61,7 @@ def suffix_starts(docs: DataFrame) -> DataFrame:
         for text in utf8_list(batch):
             words = word_array(text)
             g, at = minimisers(words)
-            keys.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+            keys.append(_words_key(words))
             sizes.append(len(words))
             grams.append(g.view(np.int64))
             places.append(at.astype(np.int32))
@@ -70,18 +70,23 @@ def suffix_starts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, "doc_id long, words_key binary, n_words long, grams array<long>, places array<int>", lambda: step)
 
 
+def _words_key(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+
+
 def suffixes(wanted: DataFrame) -> DataFrame:
-    """(doc_id, text, starts) to one row a start: gram, rows (of its group), doc_id, pos, right (words from there on) and left (words before, backwards)."""
+    """(doc_id, text, starts, words_key of the text that the starts belong to) to one row a start: gram, rows (of its group), doc_id, pos, right (words from there on) and left (words before, backwards)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], [], [], []]
-        for doc_id, text, starts in zip(batch.column(0).to_pylist(), utf8_list(batch), batch.column(2).to_pylist(), strict=True):
-            words = (word_array(text) >> np.uint64(32)).astype(">u4")
+        for doc_id, text, starts, key in zip(batch.column(0).to_pylist(), utf8_list(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            words = word_array(text)
+            if _words_key(words) != key:  # another row with this doc_id
+                continue
+            words = (words >> np.uint64(32)).astype(">u4")
             data, back = words.tobytes(), words[::-1].tobytes()
             for s in starts:
                 pos = s["pos"]
-                if pos >= len(words):  # of another row with this doc_id
-                    continue
                 before = 4 * (len(words) - pos)
                 for col, x in zip(cols, (s["gram"], s["rows"], doc_id, pos, data[4 * pos : 4 * (pos + RIGHT)], back[before : before + 4 * LEFT]), strict=True):
                     col.append(x)
@@ -218,18 +223,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ids = long_enough.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("members"))
     classes = stored(ids, "suffix-classes")
     reps = long_enough.join(classes.select("words_key", F.col("rep").alias("doc_id")), ["words_key", "doc_id"], "left_semi")
-    entries = stored(reps.select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("e")).select("doc_id", F.col("e.grams").alias("gram"), F.col("e.places").alias("pos")), "suffix-entries")
-    release(spark)
+    entries = stored(reps.select("doc_id", "words_key", F.explode(F.arrays_zip("grams", "places")).alias("e")).select("doc_id", "words_key", F.col("e.grams").alias("gram"), F.col("e.places").alias("pos")), "suffix-entries")
     shared = entries.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).filter("low < high")
     shared = stored(shared.select("gram", "rows"), "suffix-shared")
     total = shared.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     wanted = lookup(entries, shared, "gram", "rows", total).filter(F.col("rows").isNotNull())
-    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "rows", "pos")).alias("starts")), "suffix-wanted")
-    release(spark)
-    rows = stored(suffixes(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "starts")), "suffix-rows")
-    release(spark)
+    wanted = stored(wanted.groupBy("doc_id", "words_key").agg(F.collect_list(F.struct("gram", "rows", "pos")).alias("starts")), "suffix-wanted")
+    rows = stored(suffixes(docs.join(wanted, "doc_id").select("doc_id", "text", "starts", "words_key")), "suffix-rows")
     spans = stored(matches(rows, "right"), "suffix-spans").unionByName(stored(matches(rows, "left"), "suffix-spans"))
-    release(spark)
     in_order = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     before = F.max("end_word").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.distinct().withColumn("opens", F.when(before.isNull() | (F.col("start_word") > before), 1).otherwise(0))
@@ -245,6 +246,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query op3: every passage of at least MIN_WORDS words that documents share."""
+    """Query op3: every passage of at least MIN_WORDS words that documents share, as word positions."""
     prepare(spark)
-    return repeated_passages(texts(documents(spark, sf_dir)))
+    return repeated_passages(texts(documents(spark, sf_dir))).drop("partner_id")
+
+
+SUFFIX_DEDUP_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
+k AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS k FROM w WHERE len(words) >= 50),
+g AS (SELECT doc_id, k, md5(array_to_string(words[k:k + 49], ' ')) AS passage FROM k),
+s AS (SELECT passage FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+p AS (SELECT doc_id, k - 1 AS start_word, k + 49 AS end_word FROM g SEMI JOIN s USING (passage)),
+o AS (SELECT *, CASE WHEN start_word > max(end_word) OVER (PARTITION BY doc_id ORDER BY start_word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM p),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start_word) AS island FROM o)
+SELECT doc_id, min(start_word) AS start_word, max(end_word) AS end_word, max(end_word) - min(start_word) AS n_words FROM i GROUP BY doc_id, island
+"""
