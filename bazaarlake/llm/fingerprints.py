@@ -8,32 +8,40 @@ so equal substrings have the same interior phrases wherever they stand. The phra
 from FIRST_LEVEL on go into a min-wise sketch of BINS values, which is the fingerprint; the likeness of
 two fingerprints is the share of bins that agree, an estimate of the phrase sets' Jaccard similarity.
 
-The next document, in descending order of doc_id, is found in ranges of doc_id: rows are dealt to ranges
-of about equal counts, and the highest rows of each range also go to the range above, so that each task
-sees its rows in order plus the one after them. Texts move once.
+The parse stops at LAST_LEVEL: names above it stand for whole paragraphs and seldom recur, so long texts
+are compared by phrases of LAST_LEVEL at most.
+
+The next document, in descending order of doc_id, is found in ranges of the sorted order (by doc_id, then the
+text's first HEAD_CHARS characters, then its hash): rows are dealt to ranges of about equal counts, and the
+first row of each range also goes to the range before, so that each task sees its rows in order plus the one
+after them. Equal rows that fill several ranges are dealt over these in turn. Texts move once.
 
 Defined results: null text counts as empty; the empty text's fingerprint has only empty bins and is like
-itself (1) and unlike all others (0); rows with equal doc_ids follow each other in order of their texts,
-null doc_ids come last; a single document is its own next; an empty table gives no rows; other columns
-are ignored. Texts are used whole."""
+itself (1) and unlike all others (0); rows with equal doc_ids follow each other in order of their texts (by
+HEAD_CHARS characters, then by hash), null doc_ids come last; a single document is its own next; an empty table
+gives no rows; other columns are ignored. Texts are used whole."""
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import documents, mix64, prepare, task_count, texts, utf8_list
+from bazaarlake.llm.common import documents, mix64, prepare, stored, task_count, texts, utf8_list
 
 BINS, FIRST_LEVEL, LAST_LEVEL = 128, 2, 5
 DOCS_A_TASK = 4_000
 EMPTY = np.uint16(0xFFFF)
 CHUNK_BYTES = 2 << 20
+HEAD_CHARS, CUT_SAMPLE = 64, 20  # of a text for its place among rows of one doc_id; rows looked at to place a cut
 _LOWEST = -(2**63)
 
 
@@ -128,31 +136,77 @@ def as_hex(rows: np.ndarray) -> list[str]:
     return [data[i : i + 4 * BINS] for i in range(0, len(data), 4 * BINS)]
 
 
+def _plain(key) -> tuple:
+    return tuple(bytes(x) if isinstance(x, bytearray) else x for x in key)
+
+
+def _place(cuts: list[tuple], key: tuple) -> tuple[int, int]:
+    """First and last range that may hold key; several only if key fills whole ranges."""
+    low, high = bisect_left(cuts, key), bisect_right(cuts, key)
+    return low, high if high > low + 1 else low
+
+
+def _dealer(cuts: list[tuple], ahead: dict[tuple, list[int]]):
+    """UDF of the ranges that a row goes to, as range + 1, or as -(range + 1) where it is the row ahead of the range.
+
+    Rows of a key that fills several ranges are equal. Each task sends its first one to the last of these and its
+    others to them in turn; so the last one is never without, and a task run again gives the same rows to each
+    range. Of equal rows a task sends only the first one ahead."""
+
+    @F.pandas_udf("array<int>")
+    def ranges(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        seen, own = Counter(), TaskContext.get().partitionId() * 7919
+        for place, head, hashed in batches:
+            out = []
+            for key in zip(place.tolist(), head.tolist(), hashed.tolist(), strict=True):
+                low, high = _place(cuts, key)
+                if low == high and key not in ahead:
+                    out.append([low + 1])
+                    continue
+                turn = seen[key]
+                seen[key] += 1
+                to = low + (own + turn) % (high - low + 1) if turn else high
+                out.append([to + 1, *(-(r + 1) for r in ahead.get(key, ()) if not turn)])
+            yield pd.Series(out)
+
+    return ranges
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(range, ahead, doc_id, text), in order within partitions: each range's rows by descending doc_id, then (ahead) those that follow them."""
+    """(range, ahead, again, doc_id, text), in order within partitions: each range's rows by descending doc_id, then (ahead) the
+    one that follows them; again: the range's last row is followed by its equal, so none is ahead."""
     spark = docs.sparkSession
-    parts = task_count(spark, docs.count(), DOCS_A_TASK)
-    ids = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"))
-    found = ids.agg(F.percentile_approx("id", F.array(*(F.lit(k / parts) for k in range(1, parts))), 50 * parts) if parts > 1 else F.array().alias("cuts")).first()[0]
-    cuts = np.unique(np.array(found or [], np.int64))
-
-    @F.pandas_udf("long")
-    def range_of(id_: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, id_.to_numpy(), "left"))
-
-    highest = {r["range"]: r["top"] for r in ids.select("id", range_of("id").alias("range")).groupBy("range").agg(F.max("id").alias("top")).collect()}  # as many rows as ranges
-    order = sorted(highest)
-    # The highest row of a range follows the rows of the range above; that of the highest range those of the lowest.
-    follows = {highest[r]: order[(k + 1) % len(order)] for k, r in enumerate(order)}
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LOWEST)).alias("id")).withColumn("range", range_of("id"))
-    if follows:
-        extra = F.create_map(*(F.lit(x) for pair in follows.items() for x in pair))
-        targets = F.when(F.col("id").isin(list(follows)), F.array(F.struct(F.col("range"), F.lit(False).alias("ahead")), F.struct(extra[F.col("id")].alias("range"), F.lit(True).alias("ahead"))))
-        targets = targets.otherwise(F.array(F.struct(F.col("range"), F.lit(False).alias("ahead"))))
-    else:
-        targets = F.array(F.struct(F.col("range"), F.lit(False).alias("ahead")))
-    dealt = keyed.select(F.explode(targets).alias("t"), "doc_id", "text").select("t.range", "t.ahead", "doc_id", "text")
-    return dealt.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), "text")
+    key = [F.bitwise_not(F.coalesce("doc_id", F.lit(_LOWEST))).alias("place"), F.substring("text", 1, HEAD_CHARS).cast("binary").alias("head"), F.xxhash64("text").alias("hashed")]
+    names = ["place", "head", "hashed"]
+    keys = stored(docs.select(*key), "fingerprint-keys")
+    total = keys.count()
+    parts = task_count(spark, total, DOCS_A_TASK)
+    # The cuts come from a few rows for each, CUT_SAMPLE * parts short keys.
+    sample = sorted(_plain(r) for r in keys.sample(min(1.0, CUT_SAMPLE * parts / max(1, total)), seed=1).collect())
+    cuts = [sample[k * len(sample) // parts] for k in range(1, parts)] if sample else []
+
+    @F.pandas_udf("struct<low int, high int>")
+    def span_of(place: pd.Series, head: pd.Series, hashed: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_place(cuts, k) for k in zip(place.tolist(), head.tolist(), hashed.tolist(), strict=True)], columns=["low", "high"]).astype("int32")
+
+    spans = keys.select(F.struct(*names).alias("key"), span_of(*names).alias("span"))
+    ends = spans.groupBy("span").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()  # as many rows as ranges
+    # A key of several ranges counts for the last one; the others that hold nothing else are followed by equal rows.
+    lows, highs = {}, {}
+    for (_, r), first, last in ends:
+        lows[r], highs[r] = min(lows.get(r, _plain(first)), _plain(first)), max(highs.get(r, _plain(last)), _plain(last))
+    again = [r for (low, high), *_ in ends for r in range(low, high) if r not in lows]
+    order, ahead = sorted(lows), {}
+    for r, after in zip(order, [*order[1:], *order[:1]], strict=True):
+        if highs[r] == lows[after]:
+            again.append(r)
+        else:
+            ahead.setdefault(lows[after], []).append(r)
+    rows = docs.select("doc_id", "text", *key)
+    dealt = rows.select("doc_id", "text", *names, F.explode(_dealer(cuts, ahead)(*names)).alias("to"))
+    dealt = dealt.select((F.abs("to") - 1).alias("range"), (F.col("to") < 0).alias("ahead"), *names, "doc_id", "text")
+    dealt = dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "ahead", *names)
+    return dealt.select("range", "ahead", F.col("range").isin(again).alias("again"), "doc_id", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -160,12 +214,12 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare each row of with_next() with the one after it."""
-    held = None  # the last row, whose next has not come yet: range, doc_id, text, raw, fingerprint
+    held = None  # the last row, whose next has not come yet: range, doc_id, text, fingerprint, ahead, again
     skip = None  # the range whose first row ahead has been used
     for batch in batches:
         if not batch.num_rows:
             continue
-        ranges, aheads, ids, strings = (batch.column(i).to_pylist() for i in range(4))
+        ranges, aheads, agains, ids, strings = (batch.column(i).to_pylist() for i in range(5))
         raw = utf8_list(batch)
         use = []
         for k, (r, ahead) in enumerate(zip(ranges, aheads, strict=True)):
@@ -177,17 +231,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not use:
             continue
         prints = in_chunks([raw[k] for k in use])
-        rows = [(ranges[k], ids[k], strings[k], prints[j], aheads[k]) for j, k in enumerate(use)]
+        rows = [(ranges[k], ids[k], strings[k], prints[j], aheads[k], agains[k]) for j, k in enumerate(use)]
         seen = [held, *rows] if held is not None else rows
-        pairs = [(a, b) for a, b in zip(seen, seen[1:], strict=False) if not a[4] and a[0] == b[0]]
+        pairs = [(a, b if a[0] == b[0] else a) for a, b in zip(seen, seen[1:], strict=False) if not a[4] and (a[0] == b[0] or a[5])]
         held = seen[-1]
         if pairs:
             yield _compared(pairs)
+    if held is not None and held[5] and not held[4]:
+        yield _compared([(held, held)])
 
 
 def _compared(pairs: list[tuple]) -> pa.RecordBatch:
     edited, sizes = [], []
-    for (_, _, text, _, _), (_, _, after, _, _) in pairs:
+    for (_, _, text, *_), (_, _, after, *_) in pairs:
         n = len(text)
         sizes.append(n)
         edited.append((text[: n - n // 3] + after[: n // 3]).encode())
