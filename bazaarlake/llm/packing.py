@@ -5,8 +5,8 @@ rows, whatever the corpus) comes to the driver. There, patterns of two to four l
 sequence exactly are enumerated, non-negative least squares fits their repeat counts to the histogram,
 the counts are rounded down, and the residual histogram is packed best-fit decreasing. The plan says for
 each length which ranks go to which run of sequences; a piece finds its place by its rank among the
-pieces of its length. Ranks are taken in salted groups with offsets, so a length that a third of the
-pieces share is no task's burden.
+pieces of its length. Ranks are taken in salted groups with offsets, as many groups for a length as its share
+of the pieces fills shuffle partitions, so a length that a third of the pieces share is no task's burden.
 
 Defined results: a null or empty text is the end id alone; null and repeated doc_ids are packed like
 others; repeated rows are packed as often as they occur; an empty table gives no rows; other columns are
@@ -20,6 +20,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import lru_cache
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from bazaarlake.llm.common import arrow_map, documents, prepare, ragged_arange,
 
 CAPACITY, END_ID = 4096, 1
 CACHE_WORDS, CACHE_CHARS = 250_000, 64
-ROWS_A_SALT = 200_000
 
 
 def default_tokenizer() -> str:
@@ -128,28 +128,28 @@ def word_tokens(path: str) -> WordTokens:
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
+    """doc_id, piece, start, length, ids_crc32, deal (any number, to spread equal pieces by) and, if asked for, the ids themselves."""
     tail = np.array([end_id], "<u4").tobytes()
 
     def make():
-        tokens = word_tokens(path)
+        tokens, turn = word_tokens(path), numbers()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             ids, ends = tokens.ids(batch.column(1))
             for doc_id, begin, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 view = memoryview(ids[begin:end].tobytes() + tail)
                 for k, at in enumerate(range(0, len(view), 4 * capacity)):
                     part = view[at : at + 4 * capacity]
-                    for col, x in zip(cols, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if keep_ids else None), strict=True):
+                    for col, x in zip(cols, (doc_id, k, at // 4, len(part) // 4, crc := zlib.crc32(part), crc + next(turn), np.frombuffer(part, "<u4").astype(np.int32) if keep_ids else None), strict=True):
                         col.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "deal", "ids"][: 6 + keep_ids]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k, _ in zip(cols, kinds, names, strict=False)], names)
 
         return step
 
-    return arrow_map(texts(docs), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids, make)
+    return arrow_map(texts(docs), "doc_id long, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<int>" * keep_ids, make)
 
 
 def exact_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
@@ -235,8 +235,6 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[dic
     return [x for bins in open_bins.values() for x in bins]
 
 
-
-
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], int]:
     """Bins with how often each is used, and the number of sequences."""
     counts = {n: c for n, c in counts.items() if c}
@@ -272,15 +270,17 @@ def placements(bins: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "first", "times", "offset"), table.T.copy(), strict=True))
 
 
-def ranked(pieces: DataFrame, total: int) -> DataFrame:
-    """rank: 0, 1, ... among the pieces of each length, without bringing the pieces of a length together."""
-    salts = max(1, -(-total // ROWS_A_SALT))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """rank: 0, 1, ... among the pieces of each length, without bringing the pieces of a frequent length together."""
+    spark = pieces.sparkSession
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, sum(counts.values()))
+    salts = spark.createDataFrame([(n, -(-c * parts // total)) for n, c in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod("deal", "salts"))  # a row a length: `capacity` at most
     group = Window.partitionBy("length", "salt")
     own = salted.withColumn("own_rank", F.row_number().over(group.orderBy("doc_id", "piece", "ids_crc32")) - 1)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return own.join(offsets, ["length", "salt"]).withColumn("rank", F.col("own_rank") + F.col("before")).drop("salt", "own_rank", "before")
+    return own.join(offsets, ["length", "salt"]).withColumn("rank", F.col("own_rank") + F.col("before"))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -302,9 +302,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
         return step
 
-    names = pieces.columns
-    out = ranked(pieces, sum(counts.values())).select(*names, F.col("rank").cast("long").alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    fields = [f for f in pieces.schema if f.name != "deal"]
+    out = ranked(pieces, counts).select(*(f.name for f in fields), F.col("rank").cast("long").alias("rank"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
     return arrow_map(out, schema, make)
 
 
