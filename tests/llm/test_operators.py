@@ -160,7 +160,10 @@ def repeated_words(rows) -> dict:
 def test_suffix_dedup(spark, hard):
     folder, rows = hard
     got: dict = {}
-    for r in suffix_dedup.suffix_dedup(spark, folder).collect():
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.repeated_passages(docs)
+    assert counted(suffix_dedup.suffix_dedup(spark, folder), "doc_id", "start_word", "end_word", "n_words") == counted(found, "doc_id", "start_word", "end_word", "n_words")
+    for r in found.collect():
         assert r["n_words"] == r["end_word"] - r["start_word"] >= 50 and r["partner_id"] != r["doc_id"]
         got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
     assert got == repeated_words(rows)
@@ -363,8 +366,13 @@ def test_exact_dedup_index_persists(spark, tmp_path):
     later = ExactDedup(spark, where, 4)
     got = {r["doc_id"]: r["keep_id"] for r in later.ingest(spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")).collect()}
     assert got == {1: 5, 2: 2, 3: 2} and later.index.rows().count() == 3
-    later.index.compact()
+    later.index.compact(2)
     assert later.index.rows().count() == 3
+    later.ingest(spark.createDataFrame([(9, "new"), (8, "c")], "doc_id long, text string")).collect()
+    reopened = ExactDedup(spark, where)
+    assert reopened.index.rows().count() == 4 and reopened.index.buckets == 2
+    got = {r["doc_id"]: r["keep_id"] for r in reopened.ingest(spark.createDataFrame([(10, "new"), (11, "a b")], "doc_id long, text string")).collect()}
+    assert got == {10: 9, 11: 5}
 
 
 def kept_lines(rows):
@@ -454,7 +462,7 @@ def test_fingerprints(spark, hard):
     of = {}
     for i, t in rows:
         of.setdefault(t, set()).update(r["fingerprint"] for r in got if r["doc_id"] == i and r["n_chars"] == len(t))
-    assert all(len(prints) == 1 for t, prints in of.items() if len(t) > 50)
+    assert all(len(prints) == 1 for prints in of.values())
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
