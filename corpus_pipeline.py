@@ -4,7 +4,8 @@ Each stage takes what its predecessor kept, written as Parquet and read again; a
 the columns of documents, whatever they are. toxicity drops the documents that score 0.5 or more; line
 dedup drops lines that a document with a smaller doc_id holds; near-dedup keeps one document of each
 near-duplicate component; the secret scan masks live-looking credentials in the text and keeps every
-document; packing returns each piece's place. Nulls, empty texts and empty tables are as each operator's
+document (who holds a value is counted over all documents, copies that earlier stages dropped included, so a
+published example doesn't look live for having been deduplicated); packing returns each piece's place. Nulls, empty texts and empty tables are as each operator's
 module says."""
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs, corpus=documents(spark, sf_dir))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
