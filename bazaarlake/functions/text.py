@@ -1,10 +1,12 @@
-"""Text functions as column expressions: they stay in the JVM and in whole-stage code."""
+"""Text functions as column expressions. All but the folding of compatibility forms stay in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bazaarlake.functions.parsing import nfkc
+
 #: Marketing words that say nothing about the product.
 STOPWORDS = """new hot sale free shipping dropshipping dropship wholesale high quality best top cheap price factory direct oem
 odm custom customized professional portable universal multi multifunctional fashion luxury premium original genuine brand
@@ -19,8 +21,8 @@ CJK = r"([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x
 
 
 def clean(text: Column) -> Column:
-    """White space collapsed and trimmed; null becomes empty. (Compatibility forms are folded by functions.parsing.nfkc.)"""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    """Compatibility forms folded, white space collapsed and trimmed; null becomes empty."""
+    return F.trim(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
 
 
 def title_words(title: Column) -> Column:
@@ -78,6 +80,36 @@ def normalize_gtin(value: Column) -> Column:
     return F.when(F.length(digits).isin(8, 12, 13, 14) & right, g14)
 
 
+def find_gtin(text: Column) -> Column:
+    """The first valid number of 8 or 12 to 14 digits in a text, in its 14-digit form."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(\d{8}|\d{12,14})\b"), 1)
+    return F.get(F.filter(F.transform(found, normalize_gtin), lambda g: g.isNotNull()), 0)
+
+
+#: Spellings of attribute names that mean the same.
+SPEC_KEYS = {
+    "brand name": "brand", "brands": "brand", "model number": "model", "model no": "model", "item no": "model", "product name": "name",
+    "place of origin": "origin", "country of origin": "origin", "material quality": "material", "product material": "material",
+    "size": "dimensions", "product size": "dimensions", "item size": "dimensions", "package size": "package dimensions",
+    "net weight": "weight", "item weight": "weight", "gross weight": "gross weight", "power supply": "power", "rated power": "power",
+    "input voltage": "voltage", "working voltage": "voltage", "battery capacity": "battery", "battery type": "battery type",
+    "screen size": "display size", "display screen": "display", "connection": "connectivity", "interface type": "interface",
+    "bluetooth version": "bluetooth", "waterproof grade": "ip rating", "protection level": "ip rating", "certification": "certifications",
+    "warranty period": "warranty", "color": "color", "colour": "color",
+}
+
+
+def spec_key(key: Column) -> Column:
+    """An attribute's name in one spelling."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(clean(key)), r"[\s:：]+$", ""), PUNCTUATION, " "), r"\s+", " "))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in SPEC_KEYS.items() for x in pair)), bare), bare)
+
+
+def keyword(text: Column) -> Column:
+    """A search's key: trimmed, white space collapsed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
+
+
 def hash_key(*parts: Column) -> Column:
     """SHA-256 over the parts, each ended by a unit separator."""
     return F.sha2(F.concat(*(x for p in parts for x in (F.coalesce(p, F.lit("")), F.lit("\x1f")))), 256)

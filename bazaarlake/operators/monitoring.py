@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaarlake.functions import text
 from bazaarlake.sources.catalog import Catalog
 
 #: Fixed values of the health and watch rules.
@@ -54,11 +55,20 @@ def demand_hourly_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(Catalog(spark, sf_dir)).withColumn("in_hour", F.count("*").over(hour)).filter(F.col("in_hour") > THROTTLE).select("event_id", "user_id", "in_hour")
 
 
+def demand(catalog: Catalog) -> DataFrame:
+    """Searches asked for: what users say, whole, under its key, with a number of offers found (the turn stands in for it)."""
+    asked = catalog.table("conversations").filter("role = 'user'").select(text.keyword(F.col("text")).alias("keyword"), F.col("turn").alias("found"))
+    return asked.groupBy("keyword").agg(F.count("*").alias("requests"), F.max("found").alias("offers_found"))
+
+
 def demand_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most requested keywords (the first three words a user says)."""
-    words = F.slice(F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " "), 1, 3)
-    asked = Catalog(spark, sf_dir).table("conversations").filter("role = 'user'").select(F.array_join(words, " ").alias("keyword"))
-    return asked.groupBy("keyword").agg(F.count("*").alias("requests")).orderBy(F.desc("requests"), "keyword").limit(25)
+    """Most requested searches."""
+    return demand(Catalog(spark, sf_dir)).orderBy(F.desc("requests"), "keyword").limit(25)
+
+
+def failed_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most requested searches that found nothing."""
+    return demand(Catalog(spark, sf_dir)).filter("offers_found = 0").orderBy(F.desc("requests"), "keyword").limit(25)
 
 
 def tumbling_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,18 +83,20 @@ def session_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(Catalog(spark, sf_dir)).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (site_health, health_summary, watch_crossings, new_sites, demand_hourly_throttle, demand_report, tumbling_event_counts, sliding_event_counts, session_event_counts)}
+QUERIES = {f.__name__: f for f in (site_health, health_summary, watch_crossings, new_sites, demand_hourly_throttle, demand_report, failed_demand, tumbling_event_counts, sliding_event_counts, session_event_counts)}
 _HEALTH = f"""r AS (SELECT user_id, event_type, coalesce(CAST(trunc(value) AS INT), 0) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
 g AS (SELECT user_id AS site, count(*) AS runs, count(*) FILTER (rn <= {RECENT}) AS n, sum(seen) FILTER (rn <= {RECENT}) AS recent, sum(seen) FILTER (rn > {RECENT}) AS before, count(*) FILTER (rn <= {RECENT} AND event_type = 'error') AS failures FROM r WHERE rn <= {BASELINE} GROUP BY 1),
 h AS (SELECT *, recent / n AS recent_avg, coalesce(before / nullif(runs - n, 0), recent / n) AS baseline_avg FROM g),
 health AS (SELECT site, failures, recent_avg, baseline_avg, CASE WHEN failures >= greatest(2, n // 2) THEN 'blocked' WHEN recent_avg = 0 AND baseline_avg > 0 THEN 'broken' WHEN recent_avg = 0 THEN 'idle' WHEN runs <= {RECENT} THEN 'new' WHEN recent_avg < baseline_avg * {DEGRADED} THEN 'degraded' ELSE 'ok' END AS status FROM h)"""
+_DEMAND = r"WITH d AS (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS keyword, count(*) AS requests, max(turn) AS offers_found FROM conversations WHERE role = 'user' GROUP BY 1)"
 ORACLES = {
     "site_health": f"WITH {_HEALTH} SELECT * FROM health",
     "health_summary": f"WITH {_HEALTH} SELECT s.status, count(site) AS n FROM (VALUES ('disabled'), ('idle'), ('blocked'), ('broken'), ('new'), ('degraded'), ('ok')) s(status) LEFT JOIN health h ON h.status = s.status GROUP BY 1",
     "watch_crossings": f"SELECT event_id, user_id, value, previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE value <= {TARGET} AND NOT coalesce(previous <= {TARGET}, false)",
     "new_sites": f"SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= TIMESTAMP '{SPLIT}' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.user_id = e.user_id AND k.event_type = e.event_type AND k.ts < TIMESTAMP '{SPLIT}')",
     "demand_hourly_throttle": f"SELECT event_id, user_id, in_hour FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour FROM events) WHERE in_hour > {THROTTLE}",
-    "demand_report": r"SELECT array_to_string(string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ')[1:3], ' ') AS keyword, count(*) AS requests FROM conversations WHERE role = 'user' GROUP BY 1 ORDER BY requests DESC, keyword LIMIT 25",
+    "demand_report": f"{_DEMAND} SELECT * FROM d ORDER BY requests DESC, keyword LIMIT 25",
+    "failed_demand": f"{_DEMAND} SELECT * FROM d WHERE offers_found = 0 ORDER BY requests DESC, keyword LIMIT 25",
     "tumbling_event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "sliding_event_counts": "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start FROM events, (VALUES (0), (1)) t(k)) GROUP BY 1",
     "session_event_counts": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY user_id, s",

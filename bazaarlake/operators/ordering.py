@@ -17,7 +17,7 @@ AGENTS = [
     ("south", "https://south.example", "https://south.example/item/{id}", ["china", "india", "indonesia"], 2),
     ("own", "https://www.vietnam.example", "https://vietnam.example/{id}", ["vietnam"], 3),
 ]
-DICTIONARY = [("red", "rouge"), ("old", "vieux"), ("blue", "bleu")]
+DICTIONARY = [("red plate", "assiette rouge"), ("old anvil", "vieille enclume"), ("blue bolt", "boulon bleu")]
 
 
 def bare_host(url: Column) -> Column:
@@ -65,12 +65,11 @@ def translated(rows: DataFrame, column: str, dictionary: DataFrame, provider: st
     return rows.join(known, column, "left").withColumn(column, F.coalesce("translation", column)).drop("translation")
 
 
-def translate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles with their first word translated from a dictionary keyed by provider and text."""
+def translate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles translated from a cache keyed by provider and whole text; what it lacks stays."""
     words = spark.createDataFrame(DICTIONARY, "source string, translation string")
     dictionary = words.select(F.sha2(F.concat(F.lit("sample\x1f"), F.col("source")), 256).alias("key"), "translation")
-    rows = Catalog(spark, sf_dir).products().select("product_id", F.substring_index("title", " ", 1).alias("word"))
-    return translated(rows, "word", dictionary, "sample")
+    return translated(Catalog(spark, sf_dir).products().select("product_id", "title"), "title", dictionary, "sample")
 
 
 def match_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +85,7 @@ def match_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", matching.score(none, F.col("title_signal"), none, F.lit(0), F.lit(False), F.lit(False))).withColumn("decision", matching.decide(F.col("score")))
 
 
-QUERIES = {f.__name__: f for f in (agent_links, agent_total, translate_words, match_explain)}
+QUERIES = {f.__name__: f for f in (agent_links, agent_total, translate_titles, match_explain)}
 _LINKED = f"""WITH {OFFERS_SQL}, s AS (SELECT n_nationkey AS site_id, lower(n_name) AS site_key, r_name = 'ASIA' AS needs_agent FROM nation JOIN region ON r_regionkey = n_regionkey),
 o AS (SELECT product_id || '-' || supplier_id AS offer_key, 'https://www.' || replace(site_key, ' ', '-') || '.example/item?id=' || product_id AS url, replace(site_key, ' ', '-') || '.example' AS host, product_id, site_key, needs_agent FROM offers JOIN s USING (site_id) WHERE is_active),
 a AS (SELECT agent, regexp_replace(replace(home, 'https://', ''), '^www\\.', '') AS home, template, unnest(sites) AS site_key, place FROM (VALUES {', '.join(f"('{k}', '{h}', '{t}', {s}, {p})" for k, h, t, s, p in AGENTS)}) t(agent, home, template, sites, place)),
@@ -94,5 +93,5 @@ j AS (SELECT o.*, agent, template, place, host = home AS own, bool_or(host = hom
 ORACLES = {
     "agent_links": f"{_LINKED} SELECT offer_key, 'direct' AS agent, url, 0 AS place FROM o WHERE NOT needs_agent UNION ALL SELECT offer_key, agent, CASE WHEN own THEN url ELSE replace(replace(template, '{{url}}', url_encode(url)), '{{id}}', product_id::VARCHAR) END, place FROM j WHERE own OR NOT hosted",
     "agent_total": f"SELECT p_partkey AS product_id, p_retailprice + p_retailprice * {SERVICE_FEE}::DOUBLE + {DOMESTIC_USD}::DOUBLE + greatest({BASE_FEE}::DOUBLE + {_prefix_sql(WEIGHTS, FALLBACK_KG)}::DOUBLE * {PER_KG}::DOUBLE, {LEAST_FREIGHT}::DOUBLE) AS total_usd FROM (SELECT *, lower(p_type) || '/' || lower(p_brand) AS path FROM part)",
-    "translate_words": f"SELECT p_partkey AS product_id, coalesce(t, split_part(p_name, ' ', 1)) AS word FROM part LEFT JOIN (VALUES {', '.join(map(str, DICTIONARY))}) d(s, t) ON s = split_part(p_name, ' ', 1)",
+    "translate_titles": f"SELECT p_partkey AS product_id, coalesce(t, p_name) AS title FROM part LEFT JOIN (VALUES {', '.join(map(str, DICTIONARY))}) d(s, t) ON s = p_name",
 }

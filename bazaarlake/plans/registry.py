@@ -1,8 +1,8 @@
 """All queries of the analytics operators with their oracle SQL."""
 
-from bazaarlake.operators import browse, curation, economics, history, matching, monitoring, ordering, rollup, search
+from bazaarlake.operators import browse, curation, economics, history, matching, monitoring, ordering, resolution, rollup, search
 
 QUERIES, ORACLES = {}, {}
-for _group in (rollup, browse, history, economics, matching, monitoring, search, curation, ordering):
+for _group in (rollup, browse, history, economics, matching, monitoring, search, curation, ordering, resolution):
     QUERIES |= _group.QUERIES
     ORACLES |= _group.ORACLES

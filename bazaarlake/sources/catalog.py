@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,10 @@ class Catalog:
             F.col("l_shipdate").alias("last_seen"),
         )
 
+    def first_seen(self) -> DataFrame:
+        """When each product was first listed."""
+        return self.table("lineitem").groupBy(F.col("l_partkey").alias("product_id")).agg(F.min("l_shipdate").alias("first_seen"))
+
     def active_offers(self) -> DataFrame:
         return self.offers().filter("is_active")
 
@@ -75,11 +80,64 @@ def keep_newest_folders(names: list[str], keep: int) -> list[str]:
     return sorted(names)[: max(0, len(names) - keep)]
 
 
+class Snapshots:
+    """Dated copies of tables under one folder. A log names them; rotation leaves the newest `keep` in it, so readers see those only."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def names(self) -> list[str]:
+        return sorted(r["name"] for r in log_rows(self.spark, f"{self.folder}/log", "name string, kept boolean", "name"))
+
+    def take(self, tables: dict[str, DataFrame], name: str, keep: int) -> list[str]:
+        """Write a snapshot of the tables under name (names sort by time) and rotate; gives the names that went."""
+        for table, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{table}")
+        gone = keep_newest_folders([*self.names(), name], keep)
+        entries = [(name, name not in gone), *((n, False) for n in gone if n != name)]
+        self.spark.createDataFrame(entries, "name string, kept boolean").coalesce(1).write.mode("append").json(f"{self.folder}/log")
+        return gone
+
+    def read(self, name: str, table: str) -> DataFrame:
+        if name not in self.names():
+            raise ValueError(f"no snapshot {name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}/{table}")
+
+
+def log_rows(spark: SparkSession, path: str, schema: str, key: str) -> list:
+    """The entries of a small JSON log whose `kept` is true in all lines of their key; none without a log."""
+    try:
+        rows = spark.read.schema(schema).json(path)
+        return rows.groupBy(key).agg(F.bool_and("kept").alias("kept")).filter("kept").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, nulls as empty fields."""
     df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
+def with_total(rows: DataFrame, label: str, totals: dict[str, Column]) -> DataFrame:
+    """rows in order, then one row of totals under the label, the other columns null. rows: a report's lines, with `line_no`."""
+    total = rows.agg(*(x.alias(c) for c, x in totals.items()))
+    first = rows.columns[1]
+    last = total.select(*(F.lit(2**31 - 1).alias(c) if c == "line_no" else F.lit(label).alias(c) if c == first else F.col(c) if c in totals else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    return rows.unionByName(last).orderBy("line_no")
+
+
 def compact(spark: SparkSession, source: str, target: str, files: int) -> None:
     """Rewrite a table of many small files as few."""
     spark.read.parquet(source).coalesce(files).write.mode("overwrite").parquet(target)
+
+
+def seeded(current: DataFrame | None, seeds: DataFrame, key: str, fixed: list[str]) -> DataFrame:
+    """Reference data after seeding: what the seeds' fixed columns say, other columns as an operator left them, own rows of the table kept."""
+    if current is None:
+        return seeds
+    old = current.select(key, *(F.col(c).alias(f"_old_{c}") for c in seeds.columns if c != key), F.lit(True).alias("_known"))
+    joined = seeds.join(old, key, "left")
+    merged = joined.select(key, *(F.col(c) if c in fixed else F.when(F.col("_known"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) for c in seeds.columns if c != key))
+    return merged.unionByName(current.select(*seeds.columns).join(seeds.select(key), key, "left_anti"))
