@@ -79,6 +79,11 @@ def number_of(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), r"(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
 
 
+def rounded(x: Column, digits: int = 2) -> Column:
+    """To so many decimals, halves to even, by the binary value as most languages' floats do it (decimal rounding would lift 10.075 to 10.08)."""
+    return F.rint(x * 10**digits) / 10**digits
+
+
 def money_text(amount: Column) -> Column:
     """Four decimals at most, no trailing zeros; null as empty."""
     return F.when(amount.isNull(), "").otherwise(F.rtrim(F.rtrim(F.format_string("%.4f", amount), F.lit("0")), F.lit(".")))

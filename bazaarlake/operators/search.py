@@ -257,7 +257,9 @@ def category_scores(haystack: Column, categories: list[tuple[str, list[str]]], h
     kind = "struct<category: string, confidence: double>"
     out = F.when(best["score"] >= 1, F.struct(best["category"].alias("category"), F.least(F.lit(1.0), best["score"] / 3.0).alias("confidence")).cast(kind))
     for slug, found in hints:
-        hit = F.exists(F.array(*map(F.lit, found)), lambda h: F.contains(haystack, h))
+        hit = F.lit(False)
+        for h in found:
+            hit |= F.contains(haystack, F.lit(h))
         out = out.when(hit, F.struct(F.lit(slug).alias("category"), F.lit(HINT_CONFIDENCE).alias("confidence")).cast(kind))
     return out
 
