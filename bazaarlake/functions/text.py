@@ -116,5 +116,6 @@ def hash_key(*parts: Column) -> Column:
 
 
 def truncate(text: Column, n: int) -> Column:
+    """Cleaned, and cut to n characters with an ellipsis if longer; null stays null."""
     t = clean(text)
-    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, n - 1)), F.lit("…")))
+    return F.when(text.isNull(), F.lit(None).cast("string")).when(F.length(t) <= n, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, n - 1)), F.lit("…")))

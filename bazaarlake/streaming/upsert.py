@@ -1,10 +1,16 @@
-"""Idempotent upserts of listings into a versioned Parquet table: latest row of a key wins, some fields are sticky."""
+"""Idempotent upserts of listings into a versioned Parquet table: latest row of a key wins, some fields are sticky.
+
+The table is dealt to buckets by the hash of its keys. A batch rewrites the buckets that it touches and no others; a log
+line names the current folder of each rewritten bucket, so readers see a batch whole or not at all."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+LOG = "batch long, bucket int, folder string"
+
 
 def latest(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
@@ -24,28 +30,41 @@ def merge(current: DataFrame, batch: DataFrame, keys: list[str], sticky: list[st
 
 
 class VersionedTable:
-    """A folder of versions; writing a batch twice under one id changes nothing, so foreachBatch may replay it."""
+    """A table under path; writing a batch twice under one id changes nothing, so foreachBatch may replay it."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], sticky: list[str]):
-        self.spark, self.path, self.keys, self.order, self.sticky = spark, path, keys, order, sticky
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], sticky: list[str], buckets: int = 16):
+        self.spark, self.path, self.keys, self.order, self.sticky, self.buckets = spark, path.rstrip("/"), keys, order, sticky, buckets
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
+    def _log(self) -> list:
+        try:
+            return self.spark.read.schema(LOG).json(f"{self.path}/log").collect()  # a line a rewritten bucket of each batch
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return []
-        done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done)
+
+    def _current(self, log: list) -> dict[int, str]:
+        """The folder of each bucket after the last batch that rewrote it."""
+        return {r["bucket"]: r["folder"] for r in sorted(log, key=lambda r: r["batch"]) if r["bucket"] >= 0}
+
+    def _rows(self, folders: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
 
     def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{versions[-1]:010d}") if versions else None
+        return self._rows(sorted(self._current(self._log()).values()))
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        versions = self._versions()
-        if versions and versions[-1] >= batch_id:
+        log = self._log()
+        if any(r["batch"] >= batch_id for r in log):
             return
-        fresh, current = latest(batch, self.keys, self.order), self.read()
-        out = fresh if current is None else merge(current, fresh, self.keys, self.sticky)
-        out.write.mode("overwrite").parquet(f"{self.path}/v{batch_id:010d}")
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        fresh = latest(batch, self.keys, self.order)
+        touched = sorted(r["_bucket"] for r in fresh.select(bucket.alias("_bucket")).distinct().collect())  # `buckets` at most
+        held, out = self._current(log), fresh
+        current = self._rows([held[b] for b in touched if b in held])
+        if current is not None:
+            out = merge(current, fresh, self.keys, self.sticky)
+        folder = f"batch={batch_id:010d}"
+        out.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        lines = [(batch_id, b, f"{folder}/bucket={b}") for b in touched] or [(batch_id, -1, "")]
+        self.spark.createDataFrame(lines, LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
