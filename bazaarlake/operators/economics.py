@@ -54,20 +54,29 @@ def at_quantities(offers: DataFrame) -> DataFrame:
 AT_SQL = f"quoted AS (SELECT *, {LANDED_SQL} AS landed FROM (SELECT o.*, r_name = 'AMERICA' AS is_baseline, unnest({LADDER}) AS qty FROM offers o JOIN nation ON n_nationkey = site_id JOIN region ON r_regionkey = n_regionkey WHERE is_active AND price_usd > 0) q)"
 
 
+def landed_at(qty: int) -> Column:
+    return F.expr(LANDED_SQL.replace("qty", str(qty)))
+
+
 def ladder_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest supplier of each product at each quantity; ties by price, then supplier."""
-    best = at_quantities(Catalog(spark, sf_dir).active_offers()).groupBy("product_id", "qty").agg(F.min(F.struct("landed", "price_usd", "supplier_id")).alias("b"))
-    return best.select("product_id", "qty", F.col("b.supplier_id").alias("supplier_id"), F.col("b.landed").alias("landed"))
+    """The cheapest supplier of each product at each quantity; ties by price, then supplier. One aggregation holds all
+    quantities side by side, so offers aren't multiplied by the ladder before the shuffle."""
+    priced = Catalog(spark, sf_dir).active_offers().filter("price_usd > 0")
+    best = priced.groupBy("product_id").agg(*(F.min(F.struct(landed_at(q).alias("landed"), "price_usd", "supplier_id")).alias(f"at_{q}") for q in LADDER))
+    rungs = F.array(*(F.struct(F.lit(q).alias("qty"), F.col(f"at_{q}.supplier_id").alias("supplier_id"), F.col(f"at_{q}.landed").alias("landed")) for q in LADDER))
+    return best.select("product_id", F.explode(rungs).alias("r")).select("product_id", "r.*")
 
 
 def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each product and bulk offer the first ladder quantity at which it beats the cheapest single-unit offer."""
+    """For each product and bulk offer the first ladder quantity at which it beats the cheapest single-unit offer, which a window
+    over the product puts beside every offer: one shuffle, no self-join."""
     catalog = Catalog(spark, sf_dir)
-    at = at_quantities(catalog.active_offers().join(F.broadcast(catalog.sites().select("site_id", "is_baseline")), "site_id"))  # sites: 25 rows at any scale
-    reference = at.filter("qty = 1").groupBy("product_id").agg(F.min(F.struct("landed", "price_usd", "supplier_id"))["supplier_id"].alias("ref_supplier"))
-    of_reference = at.join(reference, "product_id").filter("supplier_id = ref_supplier").select("product_id", "qty", "ref_supplier", F.col("landed").alias("ref_landed"))
-    bulk = at.filter("moq > 1 AND NOT is_baseline").join(of_reference, ["product_id", "qty"]).filter("supplier_id <> ref_supplier AND landed < ref_landed")
-    return bulk.groupBy("product_id", "supplier_id").agg(F.min("qty").alias("qty"))
+    offers = catalog.active_offers().filter("price_usd > 0").join(F.broadcast(catalog.sites().select("site_id", "is_baseline")), "site_id")  # sites: 25 rows at any scale
+    cheapest = F.min(F.struct(landed_at(1).alias("landed"), "price_usd", "supplier_id", "moq", "shipping")).over(Window.partitionBy("product_id"))
+    bulk = offers.withColumn("ref", cheapest).filter("moq > 1 AND NOT is_baseline AND supplier_id <> ref.supplier_id")
+    at_reference = lambda q: F.expr(LANDED_SQL.replace("price_usd", "ref.price_usd").replace("moq", "ref.moq").replace("shipping", "ref.shipping").replace("qty", str(q)))
+    first = F.coalesce(*(F.when(landed_at(q) < at_reference(q), q) for q in LADDER))
+    return bulk.select("product_id", "supplier_id", first.alias("qty")).filter("qty IS NOT NULL")
 
 
 def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
