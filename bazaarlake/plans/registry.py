@@ -1,8 +1,8 @@
 """All queries of the analytics operators with their oracle SQL."""
 
-from bazaarlake.operators import browse, curation, demand, duty, economics, ingest, history, matching, media, monitoring, ordering, resolution, rollup, search
+from bazaarlake.operators import browse, curation, demand, duty, economics, ingest, history, matching, media, monitoring, ordering, resolution, rollup, search, sourcing
 
 QUERIES, ORACLES = {}, {}
-for _group in (rollup, browse, history, economics, matching, media, monitoring, search, curation, ordering, resolution, duty, demand, media, ingest):
+for _group in (rollup, browse, history, economics, matching, media, monitoring, search, curation, ordering, resolution, duty, demand, media, ingest, sourcing):
     QUERIES |= _group.QUERIES
     ORACLES |= _group.ORACLES
