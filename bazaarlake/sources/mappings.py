@@ -115,6 +115,11 @@ def elements(doc: Column, paths: list[str]) -> Column:
     return F.when(found.isNull(), F.array().cast("array<string>")).when(found.startswith("[") | found.startswith("{"), F.filter(array, lambda x: x.isNotNull())).otherwise(lone)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, where lambdas would compute it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def each(*paths: str, **fields: Field) -> Field:
     """One struct for each element of the array."""
     return lambda doc: F.transform(elements(doc, list(paths)), lambda e: F.struct(*(f(e).alias(n) for n, f in fields.items())))
@@ -146,10 +151,11 @@ def ladder(steps: Field, closed: bool = False) -> Field:
     def read(doc: Column) -> Column:
         whole_steps = F.filter(steps(doc), lambda t: t["min_qty"].isNotNull() & t["price"].isNotNull())
         tiers = F.transform(whole_steps, lambda t: F.struct(t["min_qty"].alias("min_qty"), (t["max_qty"] if not closed else F.lit(None).cast("bigint")).alias("max_qty"), t["price"].alias("price")))
-        if not closed:
-            return F.sort_array(tiers)
         ordered = F.sort_array(tiers)
-        return F.transform(ordered, lambda t, i: F.struct(t["min_qty"].alias("min_qty"), (F.get(ordered, i + 1)["min_qty"] - 1).alias("max_qty"), t["price"].alias("price")))
+        if not closed:
+            return ordered
+        step = lambda o: lambda t, i: F.struct(t["min_qty"].alias("min_qty"), (F.get(o, i + 1)["min_qty"] - 1).alias("max_qty"), t["price"].alias("price"))
+        return bound(ordered, lambda o: F.transform(o, step(o)))
 
     return read
 
@@ -161,10 +167,10 @@ def options(refs: Field, groups: Field) -> Callable[[Column, Column], Column]:
     """
 
     def read(item: Column, variant: Column) -> Column:
-        known = groups(item)
-        hits = F.flatten(F.transform(refs(variant), lambda r: F.slice(F.filter(known, lambda g: g["id"] == F.element_at(F.split(r, ":"), -1)), -1, 1)))
-        names = F.array_distinct(F.filter(F.transform(hits, lambda h: h["name"]), lambda n: n.isNotNull()))
-        return F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter(hits, lambda h: h["name"] == n), -1)["value"].alias("value")))
+        found = lambda known: F.flatten(F.transform(refs(variant), lambda r: F.slice(F.filter(known, lambda g: g["id"] == F.element_at(F.split(r, ":"), -1)), -1, 1)))
+        names = lambda hits: F.array_distinct(F.filter(F.transform(hits, lambda h: h["name"]), lambda n: n.isNotNull()))
+        last = lambda hits: lambda n: F.struct(n.alias("name"), F.element_at(F.filter(hits, lambda h: h["name"] == n), -1)["value"].alias("value"))
+        return bound(bound(groups(item), found), lambda hits: F.transform(names(hits), last(hits)))
 
     return read
 
