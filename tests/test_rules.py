@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlake.functions import similarity, text, units
-from bazaarlake.operators import curation, demand, duty, ingest, media, search
+from bazaarlake.operators import curation, demand, duty, ingest, media, ordering, search
 from bazaarlake.sources import catalog
 
 
@@ -163,3 +163,19 @@ def test_snapshots_seeds_and_totals(spark, tmp_path):
     seeds = spark.createDataFrame([("x", "new name", True), ("y", "y", True)], "key string, name string, enabled boolean")
     now = spark.createDataFrame([("x", "old name", False), ("z", "own", True)], "key string, name string, enabled boolean")
     assert rows(catalog.seeded(now, seeds, "key", ["name"]), "key", "name", "enabled") == Counter([("x", "new name", False), ("y", "y", True), ("z", "own", True)])
+
+
+def test_forwarder_addresses(spark):
+    given = [("https://detail.1688.com/offer/77.html?a=1&b=~*", "1688"), ("https://item.taobao.com/item.htm?id=88", "taobao"), ("https://detail.tmall.com/123456789.htm", "tmall"), ("https://detail.tmall.com/shop", "tmall"), (None, None)]
+    offers = spark.createDataFrame(given, "url string, site_key string")
+    links = {(r.url, r.agent): r.link for r in ordering.forwarder_addresses(offers, {"cssbuy": "a b", "wegobuy": ""}).collect()}
+    a, b, c, d = (g[0] for g in given[:4])
+    assert len(links) == 5 * len(ordering.FORWARDERS)
+    assert [links[u, "cssbuy"] for u in (a, b, c, d)] == [
+        "https://www.cssbuy.com/item-micro-77?promotionCode=a+b", "https://www.cssbuy.com/item-88?promotionCode=a+b", "https://www.cssbuy.com/item-tmall-123456789?promotionCode=a+b",
+        "https://www.cssbuy.com/?url=https%3A%2F%2Fdetail.tmall.com%2Fshop",
+    ]
+    assert links[a, "wegobuy"] == "https://www.wegobuy.com/en/page/buy/?from=search-input&url=https%3A%2F%2Fdetail.1688.com%2Foffer%2F77.html%3Fa%3D1%26b%3D~%2A"
+    assert links[d, "cnfans"] == "https://cnfans.com/product?id=&platform=TAOBAO&productUrl=https%3A%2F%2Fdetail.tmall.com%2Fshop&productPwd="
+    assert links[b, "sugargoo"].startswith("https://www.sugargoo.com/index/item/index.html?tp=taobao&searchlink=https")
+    assert links[None, "superbuy"] is None

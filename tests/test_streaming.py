@@ -1,5 +1,10 @@
 """Streams over files give what their batch forms give."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from bazaarlake.operators import demand
 from bazaarlake.operators.monitoring import TARGET, watch_crossings
 from bazaarlake.streaming import upsert, watches, windows
 
@@ -36,3 +41,28 @@ def test_upsert_is_idempotent_and_sticky(spark, tmp_path):
     table.write(first, 0)
     table.write(spark.createDataFrame([(1, 3, None, None), (3, 1, 1.0, "c")], "id int, at int, price double, note string"), 1)
     assert sorted(tuple(r) for r in table.read().collect()) == [(1, 3, None, "b"), (2, 1, 7.0, None), (3, 1, 1.0, "c")]
+
+
+def test_watch_passes_equal_batch_steps(spark, tmp_path):
+    dice, given = random.Random(7), []
+    for n in range(5):
+        for w in range(12):
+            price = None if dice.random() < 0.15 else float(dice.choice([5, 10, 15]))
+            sites = sorted(dice.sample(range(4), dice.randint(1, 3)))
+            given.append((w, n, price, "s", dice.choice([True, False, None]), sites, None if w % 6 == 5 else 10.0, w % 2 == 0, w % 3 == 0))
+    schema = "watch_id long, check_id long, price double, site string, in_stock boolean, sites array<int>, target double, on_new_site boolean, on_restock boolean"
+    checks = spark.createDataFrame(given, schema).withColumn("ts", F.timestamp_seconds("check_id"))
+    for part, half in enumerate(("check_id < 3", "check_id >= 3")):  # two triggers: state carries over
+        checks.filter(half).repartition(2).write.parquet(str(tmp_path / "checks" / f"p={part}"))
+    rows = spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "checks" / "p=*"))
+    got = {(r.watch_id, r.check_id, r.fired, r.previous, tuple(r.new_sites or ())) for r in drain(watches.passes(rows), "passes").collect()}
+    state, want = {}, set()
+    blank = (None, None, None, None)
+    for n in range(5):
+        now = [g + state.get(g[0], blank) for g in given if g[1] == n]
+        step = demand.watch_step(spark.createDataFrame(now, schema + ", last_price double, last_in_stock boolean, known_sites array<int>, baseline double"))
+        for r in step.collect():
+            state[r.watch_id] = (r.last_price, r.last_in_stock, r.known_sites, r.baseline)
+            if r.fired:
+                want.add((r.watch_id, n, r.fired, r.previous, tuple(sorted(r.new_sites or ()))))
+    assert got == want and {f for _, _, f, _, _ in want} == {"new_site", "restock", "price"}
