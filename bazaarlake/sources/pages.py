@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 from bazaarlake.functions.parsing import json_ld_udf, parse_moq_udf, parse_price_udf, parse_tiers_udf
 from bazaarlake.functions.text import find_gtin, normalize_gtin
 from bazaarlake.operators.ingest import plausible_brand, plausible_mpn
-from bazaarlake.sources.mappings import each, elements, named, number, squeezed, urls, whole
-from bazaarlake.sources.readers import VOID, json_field
+from bazaarlake.sources.mappings import LISTING, Mapping, each, elements, listings, named, number, squeezed, urls, whole
+from bazaarlake.sources.readers import VOID, embedded_json, embedded_json_udf, find_items, json_field
 
 #: Attributes that hold the picture of an image loaded late, before `src`, which then holds a placeholder.
 LAZY = ("data-src", "data-lazy-src", "data-original", "data-ks-lazyload", "src")
@@ -22,6 +25,8 @@ LAZY = ("data-src", "data-lazy-src", "data-original", "data-ks-lazyload", "src")
 NEGOTIABLE = r"(?i)negotiab|on request|inquire|contact suppl|面议"
 #: An amount with its currency mark, or a range of them.
 PRICE = r"(?i)(?:US|HK|NT|[RACS])?[$¥￥€£₽₩₹]\s*\d[\d.,]*(?:\s*(?:-|–|~|to)\s*(?:US)?[$¥￥€£₽₩₹]?\s*\d[\d.,]*)?|\d[\d.,]*\s*(?:USD|EUR|GBP|CNY|RMB|MAD|DH|元)"
+#: Names that pages of AliExpress give their state, and what an item in it has.
+STATES, ITEM_KEYS = ("_init_data_", "window.runParams", "runParams"), frozenset({"productId", "product_id"})
 CARD = "array<struct<text:string,linked:string,title:string,link:string,image:string>>"
 
 
@@ -33,6 +38,7 @@ class Shop:
     cards: tuple[str, ...]
     ids: tuple[str, ...]
     currency: str = "USD"
+    pictures: tuple[str, str, tuple[str, ...]] | None = None  # where the page's script lists items: marker, id, paths of the picture
 
 
 #: Card classes and link shapes of shops.
@@ -40,7 +46,7 @@ SHOPS = {
     "alibaba": Shop("https://www.alibaba.com", (".searchx-offer-item", "div.fy23-search-card", ".J-offer-wrapper", ".gallery-offer-item"), (r"_(\d{6,})\.html", r"/(\d{8,})\.html")),
     "1688": Shop("https://www.1688.com", (".sm-offer-item", ".offer-list-row-offer"), (r"/offer/(\d+)\.html",), "CNY"),
     "tmall": Shop("https://www.tmall.com", (".product", ".product-iWrap"), (r"[?&]id=(\d+)",), "CNY"),
-    "dhgate": Shop("https://www.dhgate.com", (".gallery-main", ".listitem", ".item-wrap"), (r"/(\d{6,})\.html",)),
+    "dhgate": Shop("https://www.dhgate.com", (".gallery-main", ".listitem", ".item-wrap"), (r"/(\d{6,})\.html",), pictures=('"totalProducts":', "itemcode", ("bigimagepath", "seo300ImagePath"))),
     "globalsources": Shop("https://www.globalsources.com", ("li.card-box", ".prod-item"), (r"-(\d{6,})p\.htm(?:$|[?#])", r"(\d{7,})")),
     "tomtop": Shop("https://www.tomtop.com", (".product-item", ".goods-item", ".item-box"), (r"/(\d{5,})\.html", r"[?&](?:id|product_id|goods_id)=(\d+)")),
     "geekbuying": Shop("https://www.geekbuying.com", (".searchResultItem", ".goodsItem", ".product-item"), (r"/(\d{5,})\.html", r"[?&](?:id|product_id|goods_id)=(\d+)")),
@@ -128,16 +134,72 @@ def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
 
 
+def scripted_pictures(html: Column, shop: Shop) -> Column:
+    """Pairs of id and picture of the items that a page's script lists; those without either are left out."""
+    if shop.pictures is None:
+        return F.array().cast("array<struct<id:string,image:string>>")
+    marker, key, paths = shop.pictures
+    items = F.from_json(F.get(embedded_json_udf(marker)(html), F.lit(0)), "array<string>")
+    found = F.transform(items, lambda i: F.struct(json_field(i, [key]).alias("id"), json_field(i, list(paths)).alias("image")))
+    return F.filter(found, lambda p: p["id"].isNotNull() & p["image"].isNotNull())
+
+
+def shaped_items(html: str | None, markers: tuple[str, ...], keys: frozenset[str]) -> list[str]:
+    """The items (as JSON) of the first value assigned after one of the markers, in their order, that holds a list of objects with one of the keys."""
+    for marker in markers:
+        for blob in embedded_json(html, marker):
+            items = find_items(json.loads(blob), set(keys))
+            if items:
+                return [json.dumps(i) for i in items if isinstance(i, dict)]
+    return []
+
+
+def scripted_listings(pages: DataFrame, html: str, mapping: Mapping, markers: tuple[str, ...] = STATES, keys: frozenset[str] = ITEM_KEYS) -> DataFrame:
+    """Listings of saved pages whose script holds the items somewhere; they are found by shape and read by the mapping, whose items are at `items`."""
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda h: shaped_items(h, markers, keys))
+
+    answers = pages.select(F.concat(F.lit('{"items":['), F.array_join(found(html), ","), F.lit("]}")).alias("answer"))
+    return listings(answers, "answer", mapping)
+
+
+def sitemap_listings(sitemaps: DataFrame, xml: str, keyword: str | None = None, section: str = "/wholesale/", site: str = "chinavasion", seller: str = "Chinavasion") -> DataFrame:
+    """A listing for each product address of saved sitemaps: its last part is the title and, at its end, the number of the part; the parts after
+    the section are the category. With a keyword, only addresses whose last part has all its words of two letters or more; a keyword
+    without such words finds nothing. Columns as in LISTING."""
+    rows = sitemaps.select(F.explode(F.regexp_extract_all(xml, F.lit("<loc>([^<]+)</loc>"), F.lit(1))).alias("url")).where(F.col("url").contains(section))
+    rows = rows.withColumn("slug", F.substring_index("url", "/", -1))
+    if keyword is not None:
+        words = [w for w in re.split(r"\W+", keyword.lower()) if len(w) > 1]
+        rows = rows.where(reduce(lambda a, w: a & F.lower("slug").contains(w), words, F.lit(bool(words))))
+    number_of_part = r"-([a-z]{3}-[a-z0-9]{6,})$"
+    key = F.coalesce(F.nullif(F.regexp_extract("slug", number_of_part, 1), F.lit("")), F.substring("slug", 1, 120))
+    spoken = lambda part: F.initcap(F.replace(part, F.lit("-"), F.lit(" ")))
+    parts = F.split(F.substring_index("url", section, -1), "/")
+    crumbs = F.transform(F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda c: c != ""), spoken)
+    made = {
+        "site": F.lit(site), "site_product_id": key, "url": F.col("url"), "title": squeezed(spoken(F.regexp_replace("slug", number_of_part, ""))), "currency": F.lit("USD"), "moq": F.lit(1),
+        "mpn": F.upper(key), "seller_name": F.lit(seller), "category_path": F.nullif(F.array_join(crumbs, " > "), F.lit("")),
+    }
+    empty = lambda kind: F.array() if kind.startswith("array") else F.lit(None)
+    return rows.select(*(made.get(n, empty(kind)).cast(kind).alias(n) for n, kind in LISTING.items())).where("title IS NOT NULL")
+
+
 def card_listings(pages: DataFrame, html: str, site: str) -> DataFrame:
     """Cards of saved result pages with an id in their link and a title; of cards with one id on a page all are kept (source dedupe comes after).
 
-    A card that asks to negotiate has no price. The price is the first amount with a currency, outside links before inside them.
+    A card without a picture takes the one that the page's script names for its id, where the shop has such a list. A card that asks to negotiate has no price. The price is the first amount with a currency, outside links before inside them.
     A ladder of quantities decides least quantity and price range.
     """
     shop = SHOPS[site]
-    card = pages.select(F.explode(cards_udf(shop.cards)(html)).alias("card")).select("card.*")
+    read = pages.select(cards_udf(shop.cards)(html).alias("cards"), scripted_pictures(F.col(html), shop).alias("scripted"))
+    card = read.select(F.explode("cards").alias("card"), "scripted").select("card.*", "scripted")
     ids = F.coalesce(*(F.nullif(F.regexp_extract("link", p, 1), F.lit("")) for p in shop.ids))
-    found = card.select(ids.alias("site_product_id"), squeezed(F.col("title")).alias("title"), absolute(shop.base, F.col("link")).alias("url"), absolute(shop.base, F.col("image")).alias("image_url"), "text", "linked")
+    card = card.withColumn("id", ids).withColumn("image", F.coalesce("image", F.get(F.filter("scripted", lambda p: p["id"] == F.col("id")), F.lit(0))["image"]))
+    found = card.select(F.col("id").alias("site_product_id"), squeezed(F.col("title")).alias("title"), absolute(shop.base, F.col("link")).alias("url"), absolute(shop.base, F.col("image")).alias("image_url"), "text", "linked")
     found = found.withColumn("text", F.concat_ws(" ", "text", "linked")).where("site_product_id IS NOT NULL AND title IS NOT NULL")
     read = found.select("*", parse_price_udf(F.regexp_extract("text", PRICE, 0)).alias("price"), parse_moq_udf("text").alias("least"), parse_tiers_udf("text").alias("tiers"))
     steps = F.transform("tiers", lambda t: t["price"])

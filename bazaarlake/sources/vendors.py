@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bazaarlake.functions.parsing import parse_price_udf
 from bazaarlake.functions.text import normalize_gtin
 from bazaarlake.sources.mappings import Mapping, cents, constant, digits, each, elements, first, ladder, named, number, pairs, squeezed, templated, text, untagged, urls, variants, whole
 from bazaarlake.sources.readers import json_field
@@ -174,4 +175,29 @@ def taobao() -> Mapping:
     })
 
 
-VENDORS = {made.__name__: made for made in (bestbuy, lcsc, octopart, temu, temu_detail, ebay, greetbuy, liuhuamall, buckydrop, taobao)}
+def aliexpress() -> Mapping:
+    """Items of search pages, for `pages.scripted_listings`. Numbers go before the formatted price; the price before the discount is the greatest
+    one where it is above. A note of free shipping makes the shipping cost 0."""
+    key = lambda doc: F.nullif(F.regexp_extract(json_field(doc, ["productId", "product_id", "itemId"]), r"^(\d+)$", 1), F.lit(""))
+    least, before = number("prices.salePrice.minPrice"), number("prices.originalPrice.minPrice")
+    free = lambda doc: F.exists(elements(doc, ["sellingPoints"]), lambda p: F.coalesce(F.lower(json_field(p, ["tagContent.tagText"])).contains("free shipping"), F.lit(False)))
+
+    def derived() -> dict[str, Column]:
+        plain = F.col("least").isNull()
+        return {
+            "price_min": F.when(plain, F.col("shown.price_min")).otherwise(F.col("least")), "price_max": F.when(plain, F.col("shown.price_max")).when(F.col("before") > F.col("least"), F.col("before")),
+            "currency": F.when(plain, F.coalesce("shown.currency", F.lit("USD"))).otherwise(F.col("written")), "shipping_currency": F.when(F.col("shipping_cost") == 0, "USD"),
+        }
+
+    return Mapping("aliexpress", ("items",), {
+        "site_product_id": key, "url": templated("https://www.aliexpress.com/item/{}.html", key), "title": text("title.displayTitle", "title.seoTitle", "productTitle", "subject"),
+        "least": least, "before": before, "shown": lambda doc: parse_price_udf(json_field(doc, ["prices.salePrice.formattedPrice", "prices.originalPrice.formattedPrice"])),
+        "written": first(text("prices.salePrice.currencyCode", "prices.originalPrice.currencyCode"), constant("USD")), "rating": number("evaluation.starRating"),
+        "orders_count": lambda doc: F.replace(F.regexp_extract(json_field(doc, ["trade.tradeDesc"]), r"(\d[\d,]*)", 1), F.lit(","), F.lit("")).try_cast("bigint"),
+        "seller_name": text("store.storeName"), "seller_url": lambda doc: F.element_at(F.concat(urls("store.storeUrl")(doc), F.array(F.lit(None).cast("string"))), 1),
+        "shipping_cost": lambda doc: F.when(free(doc), 0.0),
+        "image_urls": lambda doc: F.array_distinct(F.concat(F.slice(urls("image.imgUrl", "imageUrl", "productImage")(doc), 1, 1), F.slice(urls("images")(doc), 1, 5))),
+    }, derived)
+
+
+VENDORS = {made.__name__: made for made in (aliexpress, bestbuy, lcsc, octopart, temu, temu_detail, ebay, greetbuy, liuhuamall, buckydrop, taobao)}

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from bazaarlake.sources import mappings, pages
+from bazaarlake.sources import mappings, pages, vendors
 
 
 def test_picture_prefers_late_loading_attributes():
@@ -46,3 +46,34 @@ def test_structured_data_fills_what_is_missing(spark):
     assert (one["in_stock"], one["rating"], one["review_count"]) == (False, 4.5, 7)
     assert (two["brand"], two["price_min"], two["price_max"], two["currency"]) == ("Own", 9.0, 20.0, "USD")
     assert all(got[k][c] in (None, []) for k in "34" for c in ("brand", "price_min", "image_urls", "specs", "rating"))
+
+
+def test_pictures_from_the_script(spark):
+    listed = json.dumps([{"itemcode": 1234567, "bigimagepath": "//i/[1].jpg"}, {"itemcode": 1234567, "bigimagepath": "//i/2.jpg"}, {"itemcode": 7}, None])
+    page = f'<script>x = {{"totalProducts": {listed}}}</script><div class="listitem"><a href="/p/1234567.html">Old radio</a><img class="LazyLoad">US$3.50</div>'
+    (got,) = pages.card_listings(spark.createDataFrame([(page,), (page.replace("listitem", "other"),), (None,)], "html string"), "html", "dhgate").collect()
+    assert (got.site_product_id, got.image_url, got.price_min) == ("1234567", "https://i/[1].jpg", 3.5)
+
+
+def test_listings_from_a_page_state(spark):
+    one = {"productId": "11", "title": {"displayTitle": " Steel  bolt "}, "prices": {"salePrice": {"minPrice": 2.5, "currencyCode": "EUR"}, "originalPrice": {"minPrice": 4}}, "trade": {"tradeDesc": "1,200+ sold"},
+           "sellingPoints": [{"tagContent": {"tagText": "Free shipping"}}, {}], "image": {"imgUrl": "//i/1.jpg"}, "images": ["//i/1.jpg", "//i/2.jpg"]}
+    two = {"productId": "12", "productTitle": "Nut", "prices": {"salePrice": {"formattedPrice": "US $4.79"}}}
+    state = {"a": {"noise": [{"x": 1}]}, "mods": {"itemList": {"content": [one, two, {"productId": "x", "subject": "no id"}]}}}
+    page = f"<script>window.runParams = {json.dumps(state)};</script>"
+    rows = pages.scripted_listings(spark.createDataFrame([(page,), ("",), (None,)], "html string"), "html", vendors.aliexpress())
+    assert rows.columns == list(mappings.LISTING)
+    a, b = rows.orderBy("site_product_id").collect()
+    assert (a.title, a.price_min, a.price_max, a.currency, a.orders_count, a.shipping_cost, a.image_urls) == ("Steel bolt", 2.5, 4.0, "EUR", 1200, 0.0, ["https://i/1.jpg", "https://i/2.jpg"])
+    assert (b.site_product_id, b.price_min, b.currency, b.shipping_cost, b.url) == ("12", 4.79, "USD", None, "https://www.aliexpress.com/item/12.html")
+
+
+def test_sitemap_listings(spark):
+    locs = ["https://s/wholesale/phone-parts/led/red-led-lamp-cvx-k12345", "https://s/wholesale/plain-lamp", "https://s/about/lamp", "https://s/wholesale/x/"]
+    maps = spark.createDataFrame([("<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in locs),), (None,), ("",)], "xml string")
+    rows = {r.url: r for r in pages.sitemap_listings(maps, "xml").collect()}
+    a, b = rows[locs[0]], rows[locs[1]]
+    assert len(rows) == 2 and (a.site_product_id, a.mpn, a.title, a.category_path, a.moq) == ("cvx-k12345", "CVX-K12345", "Red Led Lamp", "Phone Parts > Led", 1)
+    assert (b.site_product_id, b.title, b.category_path, b.image_urls) == ("plain-lamp", "Plain Lamp", None, [])
+    count = lambda k: pages.sitemap_listings(maps, "xml", k).count()
+    assert (count("LED lamp"), count("lamp"), count("a"), count("fan")) == (1, 2, 0, 0)
