@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from bazaarlake.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from bazaarlake.llm.fingerprints import document_fingerprints
+from bazaarlake.llm.lexical_search import LEXICAL_SEARCH_SQL, ranked_search
 from bazaarlake.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from bazaarlake.llm.minhash_dedup import MINHASH_DEDUP_SQL, minhash_dedup
 from bazaarlake.llm.packing import best_fit_packing
+from bazaarlake.llm.periodic_runs import PERIODIC_RUNS_SQL, periodic_run_detection
+from bazaarlake.llm.quality_rules import quality_rules
 from bazaarlake.llm.secret_scan import SECRET_SCAN_SQL, secret_scan
 from bazaarlake.llm.sentencepiece_codec import sentencepiece_codec
 from bazaarlake.llm.suffix_dedup import SUFFIX_DEDUP_SQL, suffix_dedup
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup,
     "op9_secret_scan": secret_scan,
     "op10_document_fingerprints": document_fingerprints,
+    "op11_periodic_runs": periodic_run_detection,
+    "op12_ranked_search": ranked_search,
+    "op13_quality_rules": quality_rules,
 }
 
 ORACLES = {
@@ -32,4 +38,6 @@ ORACLES = {
     "op7_exact_dedup": EXACT_DEDUP_SQL,
     "op8_line_dedup": LINE_DEDUP_SQL,
     "op9_secret_scan": SECRET_SCAN_SQL,
+    "op11_periodic_runs": PERIODIC_RUNS_SQL,
+    "op12_ranked_search": LEXICAL_SEARCH_SQL,
 }

@@ -53,6 +53,7 @@ def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
