@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from bazaarlake.functions import parsing, text
+from bazaarlake.functions import text
 from bazaarlake.operators import browse
+from bazaarlake.operators.bm25 import FIELDS, K1, B, index_fields
+from bazaarlake.operators.text_index import TEXTS, TextIndex, files_key
 from bazaarlake.sources.catalog import OFFERS_SQL, Catalog
+from bazaarlake.sources.tables import shared_dir, stored
 
-K1, B = 1.2, 0.75
-FIELD_CHARS = 8000  # of the fields that gather many values
-#: Weights of the indexed fields.
-FIELDS = {"title": 10.0, "title_raw": 4.0, "brand": 3.0, "model": 3.0, "identifiers": 8.0, "specs": 1.0, "path": 0.5}
 #: Groups of interchangeable search terms.
 SYNONYMS = [
     ["earbud", "earbuds", "earphone", "earphones", "headphone", "headphones", "headset", "tws", "airpod", "airpods"],
@@ -39,32 +38,10 @@ SAMPLE_SYNONYMS = [["bolt", "screw", "fastener"], ["widget", "gadget"], ["red pl
 CATEGORIES = [("fasteners", ["bolt", "screw", "nut"]), ("tools", ["anvil", "hammer", "wrench"]), ("kitchen", ["plate", "pan", "red plate"]), ("parts", ["gear", "widget", "valve"])]
 HINTS = [("metal", ["anvil", "iron"]), ("small", ["cog", "ring"])]
 HINT_CONFIDENCE = 0.35
-QUERY, PHRASE_QUERY, PREFIX, SUGGESTIONS = "red screw", "crimson dish", "re", 8
+QUERY, PHRASE_QUERY, PART_QUERY, PREFIX, SUGGESTIONS = "red screw", "crimson dish", "ER#000000007", "re", 8
 _CJK = re.compile("[㐀-鿿぀-ヿ가-힯]")
 
 
-def index_fields(products: DataFrame, offers: DataFrame) -> DataFrame:
-    """product_id and the seven fields. products: (product_id, title, brand, model, mpn, gtin, specs map, path); offers: (product_id, title_raw), inactive ones too."""
-    raw = offers.groupBy("product_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("title_raw"))).alias("titles"))
-    pairs = F.transform(F.filter(F.map_entries("specs"), lambda e: e["value"].isNotNull()), lambda e: F.concat_ws(" ", e["key"], e["value"]))
-    return products.join(raw, "product_id", "left").select(
-        "product_id", F.coalesce("title", F.lit("")).alias("title"), F.substring(text.segment_cjk(F.coalesce("titles", F.lit(""))), 1, FIELD_CHARS).alias("title_raw"), "brand", "model",
-        F.concat_ws(" ", "gtin", "mpn", "model", "brand").alias("identifiers"), F.substring(F.array_join(pairs, " "), 1, FIELD_CHARS).alias("specs"), "path",
-    )
-
-
-def words(content: Column) -> Column:
-    """Letters and digits in runs, accents folded, lower case."""
-    return F.regexp_extract_all(F.lower(parsing.without_accents(content)), F.lit(r"[\p{L}\p{N}]+"), 0)
-
-
-def postings(fields: DataFrame) -> DataFrame:
-    """(product_id, field, term, pos): one row a word."""
-    listed = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("content")) for f in FIELDS))
-    rows = fields.select("product_id", F.explode(listed).alias("f")).select("product_id", "f.field", words(F.col("f.content")).alias("found"))
-    return rows.select("product_id", "field", F.posexplode("found").alias("pos", "term"))
-
-
 def catalog_fields(catalog: Catalog) -> DataFrame:
     """The seven fields of the sample catalog: an offer's raw title is the product's with the supplier's name."""
     suppliers = catalog.table("supplier").select(F.col("s_suppkey").alias("supplier_id"), "s_name")
@@ -79,29 +56,14 @@ def catalog_fields(catalog: Catalog) -> DataFrame:
     return index_fields(products, offers)
 
 
-def without_product(index: DataFrame, gone: DataFrame) -> DataFrame:
-    """The index without the products in gone."""
-    return index.join(gone.select("product_id"), "product_id", "left_anti")
-
-
-def write_index(index: DataFrame, path: str) -> None:
-    """Store postings in folders by the first letters of the term, so that a query reads those of its terms only."""
-    index.withColumn("initial", F.substring("term", 1, 2)).repartition("initial").sortWithinPartitions("initial", "term").write.mode("overwrite").partitionBy("initial").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str, concepts: list[list[str]]) -> DataFrame:
-    """What a query needs of a stored index. (Lengths come from document_lengths(), stored apart.)"""
-    first = {w[:2] for terms in concepts for t in terms for w in t.split()}
-    stored = spark.read.parquet(path)
-    wanted = [F.col("initial").startswith(w) if len(w) < 2 else F.col("initial") == w for w in sorted(first)]
-    chosen = F.lit(False)
-    for w in wanted:
-        chosen |= w
-    return stored.filter(chosen).drop("initial")
-
-
-def document_lengths(index: DataFrame) -> DataFrame:
-    return index.groupBy("product_id").agg(F.count("*").alias("len"))
+def catalog_index(catalog: Catalog) -> TextIndex:
+    """The index of the sample catalog in the shared folder: built when the tables' files are new, opened otherwise."""
+    spark = catalog.spark
+    key = files_key(spark, [f"{catalog.sf_dir}/{t}.parquet" for t in ("part", "supplier", "lineitem")])
+    index = TextIndex(spark, f"{shared_dir(spark)}/catalog-index-{key}")
+    if index.state() is None:
+        index.upsert(catalog_fields(catalog))
+    return index
 
 
 def expand(query: str, groups: list[list[str]] = SYNONYMS) -> list[list[str]]:
@@ -125,68 +87,28 @@ def concepts_of(query: str, groups: list[list[str]] = SYNONYMS) -> list[list[str
     return [kept for terms in expand(query, groups) if (kept := sorted({s for t in terms if (s := safe(t))}))]
 
 
-def hits(index: DataFrame, concepts: list[list[str]], weights: dict[str, float]) -> DataFrame:
-    """(product_id, concept, tf): weighted occurrences of each concept's terms."""
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("field"))
-    parts = []
-    for n, terms in enumerate(concepts):
-        single = [t for t in terms if " " not in t]
-        if single:
-            found = F.lit(False)
-            for t in single:
-                found |= F.col("term").startswith(t)
-            parts.append(index.filter(found).select("product_id", "field", F.lit(n).alias("concept")))
-        for phrase in (t.split() for t in terms if " " in t):
-            rows = index.filter(F.col("term") == phrase[0]).select("product_id", "field", "pos")
-            for k, word in enumerate(phrase[1:], 1):  # the words of one phrase
-                after = index.filter(F.col("term") == word).select("product_id", "field", (F.col("pos") - k).alias("pos"))
-                rows = rows.join(after, ["product_id", "field", "pos"], "left_semi")
-            parts.append(rows.select("product_id", "field", F.lit(n).alias("concept")))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.groupBy("product_id", "concept").agg(F.sum(weight).alias("tf"))
-
-
-def bm25(index: DataFrame, concepts: list[list[str]], weights: dict[str, float] | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """Products that match every concept with their score.
-
-    Term frequencies are weighted by field, lengths are taken over all fields. The index is scanned for
-    the query's terms only; document counts and lengths come from one aggregation."""
-    lengths = document_lengths(index) if lengths is None else lengths
-    corpus = lengths.agg(F.count("*").alias("docs"), F.sum("len").alias("words"))
-    found = hits(index, concepts, weights or FIELDS)
-    df = found.groupBy("concept").agg(F.count("*").alias("df"))  # a row a concept of the query
-    scored = found.join(F.broadcast(df), "concept").join(lengths, "product_id").crossJoin(F.broadcast(corpus))  # corpus: one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") * F.col("docs") / F.col("words")))
-    return scored.groupBy("product_id").agg(F.count("*").alias("concepts"), F.sum(F.round(part, 6).cast("decimal(18,6)")).cast("double").alias("score")).filter(F.col("concepts") == len(concepts)).select("product_id", "score")
-
-
 def like_any(products: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """Products with the query as a substring of any of the columns, score 0: for queries that the index has no hit for."""
+    """Products with the query as a substring of any of the columns, whatever its case and signs, score 0: for queries that the index has no hit for."""
     found = F.lit(False)
     for c in columns:
-        found |= F.coalesce(F.col(c).ilike(f"%{query}%"), F.lit(False))
+        found |= F.coalesce(F.contains(F.lower(F.col(c)), F.lower(F.lit(query))), F.lit(False))
     return products.filter(found).select("product_id", F.lit(0.0).alias("score")).distinct()
 
 
-def search_products(catalog: Catalog, query: str, groups: list[list[str]] = SYNONYMS) -> DataFrame:
-    """Ranked products of a query; the substring search only where the index finds none."""
-    concepts = concepts_of(query, groups)
-    fields = catalog_fields(catalog)
-    found = bm25(postings(fields), concepts) if concepts else None
-    if found is not None and not found.isEmpty():
+def search_products(index: TextIndex, query: str, groups: list[list[str]] = SYNONYMS) -> DataFrame:
+    """Ranked products of a query in a TextIndex; the substring search only where the index finds none."""
+    found = stored(index.scores(concepts_of(query, groups)), "search-found")
+    if not query.strip() or not found.isEmpty():
         return found
-    return like_any(fields, query.strip(), ["title", "title_raw", "brand", "model"])
+    return like_any(index.members(), query.strip(), TEXTS)
 
 
-def query_products(catalog: Catalog, query: str = "", path: str = "", site_ids: list[int] | None = None, direct_only: bool = False, max_moq: int | None = None, brand: str = "", min_price: float | None = None, max_price: float | None = None, sort: str = "relevance", groups: list[list[str]] = SYNONYMS) -> DataFrame:
+def query_products(catalog: Catalog, query: str = "", path: str = "", site_ids: list[int] | None = None, direct_only: bool = False, max_moq: int | None = None, brand: str = "", min_price: float | None = None, max_price: float | None = None, sort: str = "relevance", groups: list[list[str]] = SYNONYMS, index: TextIndex | None = None) -> DataFrame:
     """All active products that a search and its filters leave, with `place` columns for browse.page(): the score orders a query
     sorted by relevance, otherwise the sort does; without either, most offers first. Count it before paging."""
     out = browse.listing(catalog)
     if query:
-        out = out.join(search_products(catalog, query, groups), "product_id")
+        out = out.join(search_products(index or catalog_index(catalog), query, groups), "product_id")
     if path:
         out = out.filter(browse.in_subtree(F.col("path"), path))
     if site_ids or direct_only or max_moq is not None:
@@ -207,13 +129,24 @@ def result_order(query: str, sort: str) -> list[Column]:
 
 
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25(postings(catalog_fields(Catalog(spark, sf_dir))), concepts_of(QUERY, SAMPLE_SYNONYMS))
-    return found.orderBy(F.desc("score"), "product_id").limit(20)
+    """The best products of a query, from the stored index, ranges that can't reach them left unread."""
+    return catalog_index(Catalog(spark, sf_dir)).top(concepts_of(QUERY, SAMPLE_SYNONYMS), 20)
 
 
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query whose synonym is a phrase: words that stand together, in any field."""
-    return bm25(postings(catalog_fields(Catalog(spark, sf_dir))), concepts_of(PHRASE_QUERY, SAMPLE_SYNONYMS))
+    return catalog_index(Catalog(spark, sf_dir)).scores(concepts_of(PHRASE_QUERY, SAMPLE_SYNONYMS))
+
+
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that the index has no word for: products with it as a part of a word, signs and case as they come."""
+    return search_products(catalog_index(Catalog(spark, sf_dir)), PART_QUERY)
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of the stored index: in how many products it stands, and how often, by field."""
+    index = catalog_index(Catalog(spark, sf_dir))
+    return index.terms().groupBy("field", "term").agg(F.count("*").alias("products"), F.sum("times").alias("times"))
 
 
 def structured_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,14 +160,18 @@ def default_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.page(query_products(Catalog(spark, sf_dir)), result_order("", "relevance"), 1).select(*browse.CARD)
 
 
-def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles for a prefix: the best SUGGESTIONS products by unweighted BM25, each title once whatever its case."""
-    fields = catalog_fields(Catalog(spark, sf_dir))
-    best = bm25(postings(fields), [[PREFIX]], dict.fromkeys(FIELDS, 1.0)).orderBy(F.desc("score"), "product_id").limit(SUGGESTIONS)
-    named = best.join(fields.select("product_id", F.trim("title").alias("suggestion")), "product_id")
+def suggestions(index: TextIndex, prefix: str, k: int = SUGGESTIONS) -> DataFrame:
+    """(suggestion, product_id): titles of the k best products for a prefix of two letters or more by unweighted BM25, each title once whatever its case."""
+    concepts = concepts_of(prefix.strip(), []) if len(prefix.strip()) > 1 else []
+    best = index.top(concepts, k, dict.fromkeys(FIELDS, 1.0))
+    named = best.join(index.members().select("product_id", F.trim("title").alias("suggestion")), "product_id").filter("suggestion <> ''")
     return named.groupBy(F.lower("suggestion").alias("key")).agg(F.min(F.struct((-F.col("score")).alias("place"), "product_id", "suggestion")).alias("first")).select("first.suggestion", "first.product_id")
 
 
+def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggestions(catalog_index(Catalog(spark, sf_dir)), PREFIX)
+
+
 def expand_udf(groups: list[list[str]]):
     @F.pandas_udf(ArrayType(ArrayType(StringType())))
     def concepts(query: pd.Series) -> pd.Series:
@@ -309,12 +246,12 @@ def item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Catalog(spark, sf_dir).table("pages").select("page_id", host.alias("host"), F.regexp_extract("url", r"(\d+)", 1).alias("item"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, phrase_search, structured_search, default_order, suggest, expand_query, category_score, normalized_titles, detected_langs, model_codes, sha_key, json_path, html_title_links, item_ids)}
+QUERIES = {f.__name__: f for f in (bm25_top, phrase_search, substring_search, index_terms, structured_search, default_order, suggest, expand_query, category_score, normalized_titles, detected_langs, model_codes, sha_key, json_path, html_title_links, item_ids)}
 _FIELDS_SQL = f"""raw AS (SELECT p_partkey AS product_id, p_name AS title, string_agg(p_name || ' ' || s_name, ' ') AS title_raw, any_value(p_brand) AS brand, any_value(upper(p_type[1:2]) || '-' || p_size) AS model, any_value('size ' || p_size || ' type ' || lower(p_type)) AS specs, any_value(lower(p_type) || '/' || lower(p_brand)) AS path
   FROM part LEFT JOIN (SELECT DISTINCT l_partkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) ON l_partkey = p_partkey GROUP BY 1, 2),
-f AS ({' UNION ALL '.join(f"SELECT product_id, {w}::DOUBLE AS w, {'model' + chr(32) + '||' + chr(32) + repr(' ') + ' || brand' if c == 'identifiers' else c} AS content FROM raw" for c, w in FIELDS.items())}),
-t AS (SELECT product_id, w, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS words FROM f WHERE content IS NOT NULL),
-i AS (SELECT product_id, w, unnest(words) AS term FROM t), len AS (SELECT product_id, count(*) AS l FROM i GROUP BY 1), c AS (SELECT count(*) AS docs, sum(l) AS words FROM len)"""
+f AS ({' UNION ALL '.join(f"SELECT product_id, '{c}' AS field, {w}::DOUBLE AS w, {'model' + chr(32) + '||' + chr(32) + repr(' ') + ' || brand' if c == 'identifiers' else c} AS content FROM raw" for c, w in FIELDS.items())}),
+t AS (SELECT product_id, field, w, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS words FROM f WHERE content IS NOT NULL),
+i AS (SELECT product_id, field, w, unnest(words) AS term FROM t), len AS (SELECT product_id, count(*) AS l FROM i GROUP BY 1), c AS (SELECT count(*) AS docs, sum(l) AS words FROM len)"""
 _SCORE = f"sum(CAST(round(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * ({K1 + 1})) / (tf + {K1}::DOUBLE * (1 - {B}::DOUBLE + {B}::DOUBLE * l * docs / c.words)), 6) AS DECIMAL(18,6)))::DOUBLE"
 
 
@@ -334,6 +271,8 @@ _TIMES = " + ".join(f"(length(s) - length(replace(s, '{p}', ''))) // {len(p)}" f
 ORACLES = {
     "bm25_top": f"WITH {_bm25_sql(concepts_of(QUERY, SAMPLE_SYNONYMS))} SELECT product_id, score FROM ranked ORDER BY score DESC, product_id LIMIT 20",
     "phrase_search": f"WITH {_FIELDS_SQL}, p AS (SELECT product_id, w, ' ' || array_to_string(t.words, '  ') || ' ' AS s FROM t), m AS (SELECT product_id, 0 AS concept, sum(w * ({_TIMES})) AS tf FROM p GROUP BY 1 HAVING tf > 0), d AS (SELECT concept, count(*) AS df FROM m GROUP BY 1) SELECT product_id, {_SCORE} AS score FROM m JOIN d USING (concept) JOIN len USING (product_id), c GROUP BY 1",
+    "substring_search": f"WITH {_FIELDS_SQL} SELECT product_id, 0.0::DOUBLE AS score FROM raw WHERE contains(lower(concat_ws(chr(31), title, title_raw, brand, model)), lower('{PART_QUERY}'))",
+    "index_terms": f"WITH {_FIELDS_SQL} SELECT field, term, count(DISTINCT product_id) AS products, count(*) AS times FROM i GROUP BY 1, 2",
     "structured_search": f"{browse.LISTING_SQL}, {_bm25_sql(concepts_of(QUERY, SAMPLE_SYNONYMS))} SELECT {', '.join(browse.CARD)}, score FROM listing JOIN ranked USING (product_id) WHERE best_price_usd BETWEEN 20 AND 50000 AND EXISTS (SELECT 1 FROM offers o JOIN nation ON n_nationkey = o.site_id JOIN region ON r_regionkey = n_regionkey WHERE o.product_id = listing.product_id AND is_active AND r_name <> 'ASIA' AND moq <= 40) ORDER BY score DESC, product_id LIMIT {browse.PAGE}",
     "default_order": f"{browse.LISTING_SQL} SELECT {', '.join(browse.CARD)} FROM listing ORDER BY offer_count DESC, product_id DESC LIMIT {browse.PAGE}",
     "suggest": f"WITH {_bm25_sql([[PREFIX]], '1.0::DOUBLE')}, b AS (SELECT product_id, score, p_name AS suggestion FROM ranked JOIN part ON p_partkey = product_id ORDER BY score DESC, product_id LIMIT {SUGGESTIONS}) SELECT first(suggestion ORDER BY score DESC, product_id) AS suggestion, first(product_id ORDER BY score DESC, product_id) AS product_id FROM b GROUP BY lower(suggestion)",

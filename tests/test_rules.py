@@ -54,18 +54,6 @@ def test_search_concepts():
     assert search.expand("unknown, word") == [["unknown"], ["word"]]
 
 
-def test_stored_index_reads_its_terms_only(spark, tmp_path):
-    fields = spark.createDataFrame([(1, "Red Café bolt", "", "b", "m", "", "", "p"), (2, "blue bolt red", "", "b", "m", "", "", "p")], "product_id long, title string, title_raw string, brand string, model string, identifiers string, specs string, path string")
-    index = search.postings(fields)
-    search.write_index(index, str(tmp_path / "index"))
-    concepts = search.concepts_of("red bolts"[:8], [])
-    part = search.read_index(spark, str(tmp_path / "index"), concepts)
-    want = rows(search.bm25(index, concepts), "product_id", "score")
-    assert rows(search.bm25(part, concepts, lengths=search.document_lengths(index)), "product_id", "score") == want and len(want) == 2
-    assert part.count() < index.count() and index.filter("term = 'cafe'").count() == 1
-    assert rows(search.bm25(index, [["red bolt"], ["blue"]]), "product_id") == Counter() and rows(search.without_product(index, spark.createDataFrame([(1,)], "product_id long")), "product_id").keys() == {(2,)}
-
-
 def test_watch_steps(spark):
     schema = "watch_id int, price double, site string, in_stock boolean, sites array<int>, on_new_site boolean, on_restock boolean, target double, last_price double, last_in_stock boolean, known_sites array<int>, baseline double"
     now = [
