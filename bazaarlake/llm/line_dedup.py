@@ -119,7 +119,7 @@ def dropped_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int =
         return hashes.groupBy(*ROW).agg(F.collect_set("pos").alias("lost"))
     step = max(1, -(-(high - low + 1) // batches))
     for start in range(low, high + 1, step):
-        own = hashes.filter((F.col("doc_id") >= start) & (F.col("doc_id") < start + step))
+        own = hashes.filter(F.col("doc_id").between(start, min(start + step - 1, high)))
         runs.add(own.groupBy("hash").agg(F.min("doc_id").alias("first_id")))
     keys = hashes.groupBy("hash").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("rows"))
     matched = keys.join(runs.rows(), "hash").filter(F.col("last_id") > F.col("first_id")).select("hash", "first_id", "rows")
