@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import Memo, arrow_map, documents, prepare, return_memory, texts
+from bazaarlake.llm.common import Memo, arrow_map, documents, prepare, return_memory, stored, texts
 
 TRAIN_ROWS = 20_000
 LEAST_ROOT, LEAST_RATIO, LEAST_TEXTS = 6.0, 8.0, 5  # signed root of the log-likelihood ratio, ratio of frequencies, toxic texts
@@ -189,14 +189,14 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn lexicon, excluded words and weights from docs (doc_id, text) with labels (doc_id, toxic)."""
     chosen = docs.join(F.broadcast(training_labels(labels)), "doc_id")  # TRAIN_ROWS pairs of integers at most
-    chosen = chosen.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("key").persist()
+    chosen = chosen.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("key")
+    chosen = stored(chosen, "toxicity-texts")
     toxic, clean = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not toxic or not clean:
         share = 0.5 if not toxic + clean else min(0.999, max(0.001, toxic / (toxic + clean)))
-        chosen.unpersist()
         return ToxicityModel(weights=[math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0])
     words = chosen.select("toxic", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("word"))
-    counts = words.filter("word != ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")).persist()
+    counts = stored(words.filter("word != ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")), "toxicity-words")
     expected = (F.col("t") + F.col("n")) / (toxic + clean)
     part = lambda seen, size: F.when(seen > 0, seen * F.log(seen / (expected * size))).otherwise(0.0)
     root = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(F.col("t"), toxic) + part(F.col("n"), clean))))
@@ -218,8 +218,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     rows = arrow_map(chosen.select("text", "toxic"), "x array<double>, toxic int", featured).collect()  # TRAIN_ROWS rows of six numbers at most
     model.weights = logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)).tolist()
-    chosen.unpersist()
-    counts.unpersist()
     return model
 
 
