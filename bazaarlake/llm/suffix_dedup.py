@@ -4,7 +4,9 @@ Suffixes are kept only where a content-selected minimiser begins: the least hash
 words in every window of MIN_WORDS words, so that any two copies of a passage of MIN_WORDS words keep the
 same suffix. Suffixes whose first GRAM words occur in two documents are sorted by the words that follow,
 each is compared with its neighbours of other documents, and the matches are extended to the right and
-left; a second order, by the words before, finds partners whose common part lies mostly to the left.
+left; a second order, by the words before, finds partners whose common part lies mostly to the left. Where
+several documents compete at a suffix, a passage's partner may lie nearest in neither order: the windows of MIN_WORDS words
+that the neighbours' extents leave open are then compared by hash, so no passage is missed.
 Windows reach far enough for consecutive matches to join, so long repeats come out whole.
 
 Documents with the same words form a class: its members are whole-text repeats of each other and only one
@@ -14,7 +16,8 @@ after it, so no group lands in one task and every suffix meets its neighbours al
 
 Defined results: words are split at ASCII white space, A-Z lower-cased; texts of fewer than MIN_WORDS
 words (null and empty ones too) have no repeats; a null doc_id is ignored; rows with one doc_id are one
-document, never its own partner; an empty table gives no rows; other columns are ignored."""
+document, never its own partner; words are compared by 32 bits of their hashes in suffixes, so a span is too long by a word
+with chance 2**-32 a comparison; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -109,8 +112,9 @@ def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare sorted suffixes with the nearest ones of other documents on both sides; give both sides' spans of each match."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare sorted suffixes with the nearest ones of other documents on both sides. Of each match, both sides' suffixes with the words in
+    common ahead and behind, and the partner; and of suffixes that no match shows it for, their most words in common ahead and behind, no partner."""
     held: list[pa.Table] = []  # the last suffix of the run before the open one (if any), and the open run: at most a group or slice
     anchor, last = 0, None  # rows of held before the open run; gram, slice and doc_id of the open run
     for batch in chain(batches, [None]):
@@ -141,18 +145,31 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right, left = (table.column(c).to_pylist() for c in ("right", "left"))
             ahead = _common([right[i] for i in a], [right[i] for i in b])
             behind = _common([left[i] for i in a], [left[i] for i in b])
+            of, mate, ahead, behind = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([ahead, ahead]), np.concatenate([behind, behind])
+            far, back = np.full(len(doc), -1), np.full(len(doc), -1)
+            np.maximum.at(far, of, ahead)
+            np.maximum.at(back, of, behind)
             match = (ahead + behind >= MIN_WORDS) & (ahead >= GRAM)
-            a, b, ahead, behind = a[match], b[match], ahead[match], behind[match]
-            if len(b):
-                ids = np.concatenate([doc[a], doc[b]])
-                mates = np.concatenate([doc[b], doc[a]])
-                starts = np.concatenate([pos[a] - behind, pos[b] - behind])
-                ends = np.concatenate([pos[a] + ahead, pos[b] + ahead])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts.astype(np.int64)), pa.array(ends.astype(np.int64)), pa.array(mates)], ["doc_id", "start_word", "end_word", "partner_id"])
+            told = np.zeros(len(doc), bool)
+            told[of[match & (ahead == far[of]) & (behind == back[of])]] = True
+            rest = np.flatnonzero((far >= 0) & ~told)
+            rows = np.concatenate([of[match], rest])
+            mates = pa.array(np.concatenate([doc[mate[match]], rest]), mask=np.arange(len(rows)) >= match.sum())
+            columns = [gram[rows], doc[rows], pos[rows], np.concatenate([ahead[match], far[rest]]).astype(np.int32), np.concatenate([behind[match], back[rest]]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), mates], ["gram", "doc_id", "pos", "ahead", "behind", "partner_id"])
         anchor, last = int(opens[-1] > 0), (gram[-1], part[-1], doc[-1])
         held = [pa.concat_tables([table.take([opens[-1] - 1]), table.slice(opens[-1])]) if anchor else table]
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of the matches that _compared() finds."""
+    for batch in _compared(batches):
+        batch = batch.filter(batch.column("partner_id").is_valid())
+        if batch.num_rows:
+            doc, pos, ahead, behind = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "pos", "ahead", "behind"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos - behind), pa.array(pos + ahead), batch.column("partner_id")], ["doc_id", "start_word", "end_word", "partner_id"])
+
+
 def _beyond(ends: list[tuple]) -> dict[int, tuple]:
     """slice: the nearest suffix of another document that lies beyond its edge in the slices already passed.
 
@@ -200,8 +217,8 @@ def slices(hot: DataFrame, n_rows: int, order: list[str]) -> DataFrame:
     return cut.unionByName(handed)
 
 
-def matches(rows: DataFrame, toward: str) -> DataFrame:
-    """Spans of the suffixes' matches with their neighbours in the order by `toward` (right or left)."""
+def compared(rows: DataFrame, toward: str) -> DataFrame:
+    """What _compared() tells of the suffixes in the order by `toward` (right or left)."""
     is_hot = F.col("rows") > HOT_ROWS
     total, n_hot = rows.agg(F.count("*"), F.count_if(is_hot)).first()
     parts = task_count(rows.sparkSession, total, SUFFIXES_A_TASK)
@@ -211,7 +228,41 @@ def matches(rows: DataFrame, toward: str) -> DataFrame:
         placed = placed.unionByName(slices(rows.filter(is_hot), n_hot, order))
     dealt = F.when(F.col("slice") < 0, F.xxhash64("gram")).otherwise(F.xxhash64("slice"))
     placed = placed.withColumn("dealt", dealt).repartition(parts, "dealt").sortWithinPartitions("dealt", "slice", *order).drop("dealt")
-    return placed.mapInArrow(_neighbours, "doc_id long, start_word long, end_word long, partner_id long")
+    return placed.mapInArrow(_compared, "gram long, doc_id long, pos int, ahead int, behind int, partner_id long")
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """doc_id, start_word, end_word, partner_id of the matches in compared()."""
+    pos = F.col("pos").cast("long")
+    return found.filter("partner_id IS NOT NULL").select("doc_id", (pos - F.col("behind")).alias("start_word"), (pos + F.col("ahead")).alias("end_word"), "partner_id")
+
+
+def matches(rows: DataFrame, toward: str) -> DataFrame:
+    """Spans of the suffixes' matches with their neighbours in the order by `toward` (right or left)."""
+    return spans_of(compared(rows, toward))
+
+
+def open_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Spans of MIN_WORDS words that neighbours leave open, where several documents compete at a suffix.
+
+    A suffix's neighbours share most with it, so a window that begins k words before it can only be repeated if k words behind and the
+    others ahead are shared with some document each. Where no single neighbour has both, the windows themselves are compared: of all
+    suffixes with those first words, the window's words by hash."""
+    low, high = F.greatest(F.lit(0), MIN_WORDS - F.max("ahead")), F.least(F.lit(LEFT), F.max("behind"))
+    match = F.when(F.col("partner_id").isNotNull(), F.struct((MIN_WORDS - F.col("ahead")).alias("low"), F.col("behind").alias("high")))
+    reach = found.groupBy("gram", "doc_id", "pos").agg(low.alias("low"), high.alias("high"), F.collect_set(match).alias("matches")).filter("low <= high")
+    offsets = F.sequence("low", "high")
+    left_open = F.exists(offsets, lambda k: ~F.exists("matches", lambda m: (m["low"] <= k) & (k <= m["high"])))
+    reach = stored(reach.select("gram", "doc_id", "pos", offsets.alias("offsets"), left_open.alias("open")), "suffix-reach")
+    contested = reach.filter("open").select("gram").distinct()
+    wanted = reach.join(contested, "gram", "left_semi").join(rows, ["gram", "doc_id", "pos"]).select("gram", "doc_id", "pos", "left", "right", F.explode("offsets").alias("k"))
+    k = F.col("k")
+    window = F.concat(F.expr("substring(left, 1, 4 * k)"), F.expr(f"substring(right, 1, 4 * ({MIN_WORDS} - k))"))
+    keyed = stored(wanted.select("doc_id", F.col("pos").cast("long").alias("pos"), k, F.unhex(F.md5(F.concat(F.hex("gram"), F.lit(":"), k, F.lit(":"), F.hex(window)))).alias("window")), "suffix-windows")
+    shared = keyed.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("first < last")
+    total = keyed.count()
+    both = lookup(keyed, stored(shared, "suffix-open"), "window", "rows", total).filter(F.col("rows").isNotNull())
+    return both.select("doc_id", (F.col("pos") - F.col("k")).alias("start_word"), (F.col("pos") - F.col("k") + MIN_WORDS).alias("end_word"), F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner_id"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -230,7 +281,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = lookup(entries, shared, "gram", "rows", total).filter(F.col("rows").isNotNull())
     wanted = stored(wanted.groupBy("doc_id", "words_key").agg(F.collect_list(F.struct("gram", "rows", "pos")).alias("starts")), "suffix-wanted")
     rows = stored(suffixes(docs.join(wanted, "doc_id").select("doc_id", "text", "starts", "words_key")), "suffix-rows")
-    spans = stored(matches(rows, "right"), "suffix-spans").unionByName(stored(matches(rows, "left"), "suffix-spans"))
+    seen = stored(compared(rows, "right"), "suffix-right").unionByName(stored(compared(rows, "left"), "suffix-left"))
+    spans = spans_of(seen).unionByName(open_windows(rows, seen))
     in_order = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     before = F.max("end_word").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.distinct().withColumn("opens", F.when(before.isNull() | (F.col("start_word") > before), 1).otherwise(0))

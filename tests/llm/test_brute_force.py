@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import base_spans, counted, hard, kept_lines, near_components, sha  # noqa: F401
+from test_operators import base_spans, counted, hard, kept_lines, near_components, passage_words, repeated_words, sha  # noqa: F401
 
 import corpus_pipeline
 from bazaarlake.llm import common, components, entry, fingerprints, line_dedup, minhash_dedup, packing, secret_scan, suffix_dedup, toxicity
@@ -318,3 +318,41 @@ def test_pipeline_equals_naive(spark, hard, monkeypatch):  # noqa: F811
         for k, at in enumerate(range(0, len(ids), 4096)):
             want[(i, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes()))] += 1
     assert counted(corpus_pipeline.run(spark, folder), "doc_id", "piece", "start", "length", "ids_crc32") == want
+
+
+def mosaics(seed: int, n: int) -> list[tuple[int, str]]:
+    """Documents cut from a few passages at random places, so that many compete at each suffix."""
+    rng = random.Random(seed)
+    prose = lambda k: ["".join(rng.choice("abdeginorst") for _ in range(6)) for _ in range(k)]
+    sources, texts = [prose(120) for _ in range(3)], []
+    for _ in range(n):
+        words = []
+        for _ in range(rng.randint(2, 5)):
+            source, start = rng.choice(sources), rng.randint(0, 90)
+            words += source[start : start + rng.randint(8, 90)] + prose(rng.choice([0, 0, 1, 5]))
+        texts.append(" ".join(words))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 5), (2, 12), (3, 20), (4, 20)])
+def test_suffix_dedup_of_mosaics(spark, seed, n):
+    rows = mosaics(seed, n)
+    want = repeated_words(rows)
+    assert want and passage_words(spark, rows) == want
+
+
+def test_suffix_dedup_where_nearer_documents_hide_a_partner(spark):
+    """A passage whose partner is the nearest in neither order."""
+    rng, rows = random.Random(9), []
+    prose = lambda k: ["".join(rng.choice("abdeginorst") for _ in range(6)) for _ in range(k)]
+    for g in range(12):
+        u, w = prose(40), prose(60)
+        rows += [(4 * g + k, " ".join(x)) for k, x in enumerate([u + w, prose(20) + w[:50] + prose(20), prose(20) + w[5:60], prose(9) + u[-5:] + w[:45] + prose(30)])]
+    assert passage_words(spark, rows) == repeated_words(rows)
+
+
+@pytest.mark.parametrize("ids", [(2**63 - 1, 2**63 - 3), (-(2**63), 2**63 - 1, 0), (-(2**63), -(2**63) + 1)])
+def test_line_dedup_of_extreme_ids(spark, ids):
+    rows = [(i, "a line of many words\nown line number %d" % k) for k, i in enumerate(ids)]
+    lost = {r.doc_id: r.lost for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert lost == {i: [0] for i in ids if i != min(ids)}
