@@ -40,9 +40,12 @@ def absolute_url(base: Column, href: Column) -> Column:
     return F.when(h.isNull() | (h == ""), None).when(h.rlike("^https?://"), h).when(h.startswith("//"), F.concat(F.lit("https:"), h)).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat_ws("/", F.regexp_replace(root, "/$", ""), h))
 
 
-def checked(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+REQUIRED = ("site_key", "listing_id", "url", "title")
+
+
+def checked(raw: DataFrame, required: tuple[str, ...] = REQUIRED) -> tuple[DataFrame, DataFrame]:
     """Good rows, and bad ones with a reason for the quarantine: a row without site, id, address or title stops nobody else's."""
-    missing = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"no {c}")) for c in ("site_key", "listing_id", "url", "title"))))
+    missing = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"no {c}")) for c in required)))
     marked = raw.withColumn("reason", F.array_join(missing, ", "))
     return marked.filter("reason = ''").drop("reason"), marked.filter("reason <> ''")
 
