@@ -1,9 +1,9 @@
 """All queries of the analytics operators with their oracle SQL."""
 
 from bazaarlake.operators import browse, curation, demand, duty, economics, ingest, history, matching, media, monitoring, ordering, resolution, rollup, search, sourcing
-from bazaarlake.streaming import catalog_store
+from bazaarlake.streaming import catalog_store, gate
 
 QUERIES, ORACLES = {}, {}
-for _group in (rollup, browse, history, economics, matching, media, monitoring, search, curation, ordering, resolution, duty, demand, media, ingest, sourcing, catalog_store):
+for _group in (rollup, browse, history, economics, matching, media, monitoring, search, curation, ordering, resolution, duty, demand, media, ingest, sourcing, catalog_store, gate):
     QUERIES |= _group.QUERIES
     ORACLES |= _group.ORACLES
