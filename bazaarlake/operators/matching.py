@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlake.functions import similarity, text
+from bazaarlake.operators import setjoin
 from bazaarlake.sources.catalog import Catalog
 
 #: Weights of the signals and thresholds of the decision.
 WEIGHTS = {"image": 0.45, "title": 0.35, "specs": 0.20}
 MERGE, REVIEW, CODE_BONUS, CONFLICT = 0.86, 0.70, 0.12, 0.75
 SEARCH_DISTANCE, SEARCH_ROWS, QUERY_IMAGE = 18, 30, 0
+TITLE_JACCARD = 0.3
 
 
 def score(image: Column, title: Column, specs: Column, overlap: Column, shared_code: Column, conflict: Column) -> Column:
@@ -62,12 +64,9 @@ def titles(catalog: Catalog) -> DataFrame:
 
 
 def title_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct titles by token overlap: postings joined on the token, sizes carried along, so no pair without a common token is made."""
-    tokens = titles(Catalog(spark, sf_dir)).select("title", F.array_distinct(F.split(F.lower("title"), " ")).alias("tokens"))
-    posted = tokens.select("title", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    a, b = posted.alias("a"), posted.alias("b")
-    common = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.title") < F.col("b.title"))).groupBy(F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("common"))
-    return common.select("title_a", "title_b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")).filter("jaccard >= 0.3")
+    """Pairs of distinct titles by token overlap, joined on the rarest tokens only."""
+    tokens = titles(Catalog(spark, sf_dir)).select(F.col("title").alias("key"), F.split(F.lower("title"), " ").alias("tokens"))
+    return setjoin.similar_pairs(tokens, TITLE_JACCARD).select(F.col("low_key").alias("title_a"), F.col("high_key").alias("title_b"), "jaccard")
 
 
 def same_title_pairs(catalog: Catalog) -> DataFrame:
