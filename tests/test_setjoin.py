@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarlake.operators import resolution, setjoin
+from bazaarlake.operators import hashjoin, resolution, setjoin
 
 
 def brute(rows, threshold):
@@ -73,3 +73,16 @@ def test_candidates_meet_at_the_rarest_word(spark):
     a, b = resolution.complete(listings, "id"), resolution.complete(products, "product_id")
     assert resolution.title_pairs(a, b).count() < 2000
     assert {r.id for r in resolution.title_candidates(a, b).collect()} == set(range(100))
+
+
+@pytest.mark.parametrize("distance", [0, 2, 3, 9, 18, 21])
+def test_hashes_within_a_distance_equal_brute_force(spark, distance):
+    rng = random.Random(distance)
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(64), n))
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    seeds = [rng.getrandbits(64) for _ in range(12)]
+    hashes = [0, 2**64 - 1, *seeds, *(flip(rng.choice(seeds), rng.randint(0, 24)) for _ in range(120))]
+    rows = [(k, signed(h)) for k, h in enumerate(hashes)] + [(500, signed(seeds[0])), (501, None)]
+    got = Counter(tuple(r) for r in hashjoin.pairs_within(spark.createDataFrame(rows, "image_id long, phash long"), distance).collect())
+    known = [(k, h & (2**64 - 1)) for k, h in rows if h is not None]
+    assert got == Counter((i, j, d) for i, x in known for j, y in known if i < j and (d := bin(x ^ y).count("1")) <= distance)
