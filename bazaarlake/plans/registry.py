@@ -2,9 +2,9 @@
 
 from bazaarlake.operators import browse, curation, demand, duty, economics, hashjoin, ingest, history, matching, media, monitoring, ordering, picture_files, resolution, rollup, search, sourcing
 from bazaarlake.sources import saved_site
-from bazaarlake.streaming import catalog_store, gate
+from bazaarlake.streaming import catalog_store, gate, rollups
 
 QUERIES, ORACLES = {}, {}
-for _group in (rollup, browse, history, economics, matching, media, monitoring, search, curation, ordering, resolution, duty, demand, media, ingest, sourcing, catalog_store, gate, hashjoin, saved_site, picture_files):
+for _group in (rollup, browse, history, economics, matching, media, monitoring, search, curation, ordering, resolution, duty, demand, media, ingest, sourcing, catalog_store, gate, hashjoin, saved_site, picture_files, rollups):
     QUERIES |= _group.QUERIES
     ORACLES |= _group.ORACLES

@@ -43,8 +43,8 @@ class Catalog:
     def offers(self) -> DataFrame:
         """The latest listing of each (product, supplier); undisclosed shipping is null."""
         line, supplier = self.table("lineitem"), self.table("supplier").select("s_suppkey", "s_nationkey")
-        newest = Window.partitionBy("l_partkey", "l_suppkey").orderBy(*(F.desc(c) for c in LATEST))
-        latest = line.withColumn("rn", F.row_number().over(newest)).filter("rn = 1")
+        newest = line.groupBy("l_partkey", "l_suppkey").agg(F.max(F.struct(*LATEST)).alias("l"))  # partial aggregation before the shuffle
+        latest = newest.select("l_partkey", "l_suppkey", "l.*")
         return latest.join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("supplier_id"),

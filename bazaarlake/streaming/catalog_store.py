@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from bazaarlake.functions import text, units
 from bazaarlake.operators import ingest
 from bazaarlake.sources.catalog import Catalog
 from bazaarlake.sources.tables import shared_dir, stored
+from bazaarlake.streaming.bucket_store import BucketStore, fields_of
 
 KEY = ["site_key", "listing_id"]
 SPEC, VARIANT, TIER = "struct<key: string, value: string, key_norm: string, position: int>", "struct<sku: string, name: string, price: double, currency: string, in_stock: boolean, position: int>", "struct<min_qty: int, max_qty: int, price: double, currency: string>"
@@ -44,15 +44,10 @@ SUPPLIER = "site_key string, name_norm string, verified boolean, first_seen time
 QUARANTINE = f"{RAW}, reason string"
 #: Part of the store: its columns and, where a batch rewrites buckets, their keys.
 PARTS = {"listings": (LISTING, KEY), "suppliers": (SUPPLIER, ["site_key", "name_norm"]), "history": (HISTORY, None), "quarantine": (QUARANTINE, None)}
-LOG = "seq long, query string, batch long, files array<struct<part: string, bucket: int, folder: string>>"
 #: An update without them leaves them.
 STICKY = ["description", "category_path", "payload", "detail_at", "shipping_usd", "specs", "variants", "tiers"]
 
 
-def fields_of(schema: str) -> list[str]:
-    return SparkSession.active().createDataFrame([], schema).columns
-
-
 def filled(array: Column) -> Column:
     """Null for an empty array."""
     return F.when(F.size(array) > 0, array)
@@ -111,86 +106,43 @@ def merged_suppliers(rows: DataFrame) -> DataFrame:
     return rows.groupBy("site_key", "name_norm").agg(F.bool_or("verified").alias("verified"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *pick.values())
 
 
-class CatalogStore:
+class CatalogStore(BucketStore):
     """The catalog under path; `ingest` takes a batch in, `read` gives a part as the last commit left it."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def log(self) -> list:
-        try:
-            return sorted(self.spark.read.schema(LOG).json(f"{self.path}/log").collect(), key=lambda r: r["seq"])  # a line a batch
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-
-    def _folders(self, log: list, part: str) -> dict:
-        """Present folders of a part, by bucket; of a part that grows, by place in the log."""
-        held = {}
-        for line in log:
-            for f in line["files"]:
-                if f["part"] == part:
-                    held[f["bucket"] if PARTS[part][1] else (line["seq"], f["bucket"])] = f["folder"]
-        return held
-
-    def _rows(self, part: str, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(PARTS[part][0]).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], PARTS[part][0])
+        super().__init__(spark, path, PARTS, buckets)
 
     def read(self, part: str) -> DataFrame:
         """listings, suppliers, history or quarantine; specs, variants or tiers as rows of their listings."""
-        if part in PARTS:
-            return self._rows(part, sorted(self._folders(self.log(), part).values()))
-        return self.read("listings").select(*KEY, F.explode(part).alias("c")).select(*KEY, "c.*")
-
-    def _bucket(self, part: str) -> Column:
-        return F.pmod(F.xxhash64(*PARTS[part][1]), F.lit(self.buckets)).cast("int").alias("bucket")
-
-    def _touched(self, part: str, rows: DataFrame, held: dict) -> tuple[DataFrame, DataFrame]:
-        """Of the buckets that rows touch: the present rows with a key of rows, and the others."""
-        buckets = [r["bucket"] for r in rows.select(self._bucket(part)).distinct().collect()]  # `buckets` at most
-        present, keys = self._rows(part, sorted(held[b] for b in buckets if b in held)), rows.select(*PARTS[part][1]).distinct()
-        return present.join(keys, PARTS[part][1], "left_semi"), present.join(keys, PARTS[part][1], "left_anti")
-
-    def _write(self, part: str, rows: DataFrame, folder: str) -> list[tuple]:
-        if PARTS[part][1] is None:
-            rows.write.parquet(f"{self.path}/{folder}/{part}")
-            return [(part, 0, f"{folder}/{part}")]
-        marked = rows.withColumn("bucket", self._bucket(part))
-        marked.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{part}")
-        written = self.spark.read.schema(f"{PARTS[part][0]}, bucket int").parquet(f"{self.path}/{folder}/{part}").select("bucket").distinct().collect()
-        return [(part, r["bucket"], f"{folder}/{part}/bucket={r['bucket']}") for r in written]
+        return super().read(part) if part in PARTS else self.read("listings").select(*KEY, F.explode(part).alias("c")).select(*KEY, "c.*")
 
     def _not_held(self, bad: DataFrame, log: list) -> DataFrame:
         """Bad rows, each once, without those that the quarantine has."""
         one = bad.withColumn("row_key", F.xxhash64(*bad.columns)).dropDuplicates(["row_key"])
-        held = self._rows("quarantine", sorted(self._folders(log, "quarantine").values()))
+        held = self.rows("quarantine", sorted(self.folders(log, "quarantine").values()))
         return one.join(held.select(F.xxhash64(*bad.columns).alias("row_key")), "row_key", "left_anti").drop("row_key")
 
     def ingest(self, raw: DataFrame, batch: int | None = None, query: str = "") -> bool:
         """Take raw listings (RAW) in; False for a batch of the query that was taken in before. Without a number, the next one of the query."""
         log = self.log()
-        done = {r["batch"] for r in log if r["query"] == query}
-        if batch in done:
+        if (named := self.next_batch(log, query, batch)) is None:
             return False
-        batch = max(done, default=-1) + 1 if batch is None else batch
-        seq = log[-1]["seq"] + 1 if log else 0
-        folder = f"batch-{seq:08d}-{uuid.uuid4().hex}"
+        batch, folder = named
         good, bad = ingest.checked(raw.withColumn("seen_at", F.col("seen_at").cast("timestamp")), ("site_key", "listing_id", "url", "title", "seen_at"))
         fresh = stored(versions(good), "ingest-versions")
-        known, others = self._touched("listings", fresh, self._folders(log, "listings"))
+        known, others = self.touched("listings", fresh, log)
         seen = known.select(*KEY, F.col("last_seen").alias("seen_last"))
         newer = fresh.join(seen, KEY, "left").filter(F.col("seen_last").isNull() | (F.col("seen_at") > F.col("seen_last"))).drop("seen_last")
         rows = stored(timeline(known, newer), "ingest-timeline")
         taken = rows.filter("NOT old")
         names = fields_of(LISTING)
-        files = self._write("listings", others.select(*names).unionByName(rows.filter("last").select(*names)), folder)
+        files = self.write("listings", others.select(*names).unionByName(rows.filter("last").select(*names)), folder)
         found = stored(suppliers_of(taken), "ingest-suppliers")
-        same, rest = self._touched("suppliers", found, self._folders(log, "suppliers"))
-        files += self._write("suppliers", rest.unionByName(merged_suppliers(same.unionByName(found))), folder)
-        files += self._write("history", taken.filter("changed").select(*KEY, F.col("last_seen").alias("ts"), "price_usd", "landed_usd", "moq", "in_stock"), folder)
-        files += self._write("quarantine", self._not_held(bad.select(*fields_of(QUARANTINE)), log), folder)
-        self.spark.createDataFrame([(seq, query, batch, files)], LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
+        same, rest = self.touched("suppliers", found, log)
+        files += self.write("suppliers", rest.unionByName(merged_suppliers(same.unionByName(found))), folder)
+        files += self.write("history", taken.filter("changed").select(*KEY, F.col("last_seen").alias("ts"), "price_usd", "landed_usd", "moq", "in_stock"), folder)
+        files += self.write("quarantine", self._not_held(bad.select(*fields_of(QUARANTINE)), log), folder)
+        self.commit(log, query, batch, files)
         return True
 
     def each_batch(self, query: str):
