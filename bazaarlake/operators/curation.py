@@ -29,8 +29,12 @@ def fx_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_detail(listed: DataFrame, detail: DataFrame, key: str, override: list[str]) -> DataFrame:
-    """Enrich listings: what a listing has stays, but for the fields in override, which the detail replaces where it has them."""
-    d = detail.select(key, *(F.col(c).alias(f"_d_{c}") for c in detail.columns if c != key))
+    """Enrich listings: what a listing has stays, but for the fields in override, which the detail replaces where it has them. An empty array or map is
+    none."""
+    many = lambda rows, c: rows.schema[c].dataType.typeName() in ("array", "map")
+    has = lambda rows, c: F.when(F.size(rows[c]) > 0, rows[c]) if many(rows, c) else rows[c]
+    d = detail.select(key, *(has(detail, c).alias(f"_d_{c}") for c in detail.columns if c != key))
+    listed = listed.select(*(has(listed, c).alias(c) for c in listed.columns))
     both = set(detail.columns) - {key}
     pick = lambda c: F.coalesce(f"_d_{c}", c) if c in override else F.coalesce(c, f"_d_{c}")
     return listed.join(d, key, "left").select(key, *((pick(c) if c in both else F.col(c)).alias(c) for c in listed.columns if c != key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaarlake.functions import units
 from bazaarlake.sources.catalog import OFFERS_SQL, Catalog
 
 #: The quantity ladder, the freight and trust constants, and sample tables of weights, duties and orders.
@@ -79,6 +80,23 @@ def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulk.select("product_id", "supplier_id", first.alias("qty")).filter("qty IS NOT NULL")
 
 
+def crossovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """break_even() with what the bulk offer saves at that quantity, to the cent."""
+    catalog = Catalog(spark, sf_dir)
+    offers = catalog.active_offers().filter("price_usd > 0").join(F.broadcast(catalog.sites().select("site_id", "is_baseline")), "site_id")  # sites: 25 rows at any scale
+    cheapest = F.min(F.struct(landed_at(1).alias("landed"), "price_usd", "supplier_id", "moq", "shipping")).over(Window.partitionBy("product_id"))
+    bulk = offers.withColumn("ref", cheapest).filter("moq > 1 AND NOT is_baseline AND supplier_id <> ref.supplier_id")
+    reference = lambda q: F.expr(LANDED_SQL.replace("price_usd", "ref.price_usd").replace("moq", "ref.moq").replace("shipping", "ref.shipping").replace("qty", str(q)))
+    first = F.coalesce(*(F.when(landed_at(q) < reference(q), F.struct(F.lit(q).alias("qty"), units.rounded(reference(q) - landed_at(q)).alias("saving"))) for q in LADDER))
+    return bulk.select("product_id", "supplier_id", first.alias("c")).filter("c IS NOT NULL").select("product_id", "supplier_id", "c.qty", "c.saving")
+
+
+def cost_per_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each priced offer at each quantity: landed cost, cost of a wanted unit, and units bought beyond the wanted ones."""
+    rows = at_quantities(Catalog(spark, sf_dir).active_offers())
+    return rows.select("product_id", "supplier_id", "qty", "landed", (F.col("landed") / F.greatest(F.lit(1), F.col("qty"))).alias("effective"), F.greatest(F.lit(0), F.coalesce("moq", F.lit(1)) - F.col("qty")).alias("overage"))
+
+
 def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest single unit at home and elsewhere, for products that have both."""
     catalog = Catalog(spark, sf_dir)
@@ -156,7 +174,7 @@ def trust_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", level.alias("level"), F.size(reasons).alias("reasons"))
 
 
-QUERIES = {f.__name__: f for f in (tier_ladder, tier_at_moq, landed_cost, ladder_winner, break_even, baseline_delta, freight, duty_prefix, bom_cost, peer_median, trust_levels)}
+QUERIES = {f.__name__: f for f in (tier_ladder, tier_at_moq, landed_cost, ladder_winner, break_even, crossovers, cost_per_unit, baseline_delta, freight, duty_prefix, bom_cost, peer_median, trust_levels)}
 _PRODUCTS = "(SELECT p_partkey AS product_id, lower(p_type) || '/' || lower(p_brand) AS path, p_size AS size, p_retailprice AS list_price FROM part)"
 _BOM = ", ".join(f"('{t}', {q})" for t, q in BOM)
 ORACLES = {
@@ -165,6 +183,8 @@ ORACLES = {
     "landed_cost": f"WITH {OFFERS_SQL} SELECT product_id, supplier_id, price_usd * greatest(1, moq) + coalesce(shipping, 0.0) AS landed_usd FROM offers WHERE is_active",
     "ladder_winner": f"WITH {OFFERS_SQL}, {AT_SQL} SELECT product_id, qty, supplier_id, landed FROM (SELECT *, row_number() OVER (PARTITION BY product_id, qty ORDER BY landed, price_usd, supplier_id) AS rn FROM quoted) WHERE rn = 1",
     "break_even": f"WITH {OFFERS_SQL}, {AT_SQL}, ref AS (SELECT product_id, first(supplier_id ORDER BY landed, price_usd, supplier_id) AS s FROM quoted WHERE qty = 1 GROUP BY 1), r AS (SELECT q.product_id, qty, supplier_id, landed FROM quoted q JOIN ref ON q.product_id = ref.product_id AND supplier_id = s) SELECT a.product_id, a.supplier_id, min(a.qty) AS qty FROM quoted a JOIN r ON a.product_id = r.product_id AND a.qty = r.qty WHERE a.moq > 1 AND NOT a.is_baseline AND a.supplier_id <> r.supplier_id AND a.landed < r.landed GROUP BY 1, 2",
+    "crossovers": f"WITH {OFFERS_SQL}, {AT_SQL}, ref AS (SELECT product_id, first(supplier_id ORDER BY landed, price_usd, supplier_id) AS s FROM quoted WHERE qty = 1 GROUP BY 1), r AS (SELECT q.product_id, qty, supplier_id, landed FROM quoted q JOIN ref ON q.product_id = ref.product_id AND supplier_id = s) SELECT a.product_id, a.supplier_id, min(a.qty) AS qty, round_even(arg_min(r.landed - a.landed, a.qty), 2) AS saving FROM quoted a JOIN r ON a.product_id = r.product_id AND a.qty = r.qty WHERE a.moq > 1 AND NOT a.is_baseline AND a.supplier_id <> r.supplier_id AND a.landed < r.landed GROUP BY 1, 2",
+    "cost_per_unit": f"WITH {OFFERS_SQL}, {AT_SQL} SELECT product_id, supplier_id, qty, landed, landed / greatest(1, qty) AS effective, greatest(0, coalesce(moq, 1) - qty) AS overage FROM quoted",
     "baseline_delta": f"WITH {OFFERS_SQL}, {AT_SQL} SELECT *, home - elsewhere AS delta FROM (SELECT product_id, min(landed) FILTER (is_baseline) AS home, min(landed) FILTER (NOT is_baseline) AS elsewhere FROM quoted WHERE qty = 1 GROUP BY 1) WHERE home IS NOT NULL AND elsewhere IS NOT NULL",
     "freight": f"SELECT product_id, chargeable_kg, greatest({BASE_FEE} + chargeable_kg * {PER_KG}, {LEAST_FREIGHT})::DOUBLE AS usd FROM (SELECT product_id, greatest({_prefix_sql(WEIGHTS, FALLBACK_KG)}::DOUBLE, size * size * size / {DIVISOR}::DOUBLE) AS chargeable_kg FROM {_PRODUCTS})",
     "duty_prefix": f"SELECT product_id, rate, list_price * rate AS duty_usd FROM (SELECT *, {_prefix_sql(DUTIES, 0.0)}::DOUBLE AS rate FROM {_PRODUCTS})",

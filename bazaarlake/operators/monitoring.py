@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.functions import text
-from bazaarlake.sources.catalog import Catalog
+from bazaarlake.sources.catalog import OFFERS_SQL, Catalog
 
 #: Fixed values of the health and watch rules.
 RECENT, BASELINE, DEGRADED = 5, 20, 0.35
@@ -29,6 +29,36 @@ def site_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.select("site", "failures", "recent_avg", "baseline_avg", status.alias("status"))
 
 
+def statuses(sites: DataFrame, runs: DataFrame, active: DataFrame) -> DataFrame:
+    """Status of every site, by the first rule that holds: disabled, idle (no runs), blocked, broken (nothing now, something before), nothing at all (idle
+    without active offers, else broken), new, degraded, ok.
+
+    sites (site, enabled: null is on), runs (site, run_id, started_at, seen, ok) that have finished, active (site, offers). The newest RECENT runs are held
+    against the BASELINE - RECENT before; started_at ties go by run_id. Null counts are 0, a null ok is no failure."""
+    newest = Window.partitionBy("site").orderBy(F.desc("started_at"), F.desc("run_id"))
+    last = runs.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= BASELINE).withColumns({"late": F.col("rn") <= RECENT, "seen": F.coalesce("seen", F.lit(0))})
+    of = last.groupBy("site").agg(F.count("*").alias("runs"), F.count_if("late").alias("n"), F.avg(F.when(F.col("late"), F.col("seen"))).alias("recent_avg"), F.avg(F.when(~F.col("late"), F.col("seen"))).alias("before"), F.count_if(F.col("late") & ~F.coalesce("ok", F.lit(True))).alias("failures"))
+    rows = sites.join(of, "site", "left").join(active, "site", "left").withColumns({"baseline_avg": F.coalesce("before", "recent_avg", F.lit(0.0)), "recent_avg": F.coalesce("recent_avg", F.lit(0.0)), "failures": F.coalesce("failures", F.lit(0)), "offers": F.coalesce("offers", F.lit(0))})
+    now, before = F.col("recent_avg"), F.col("baseline_avg")
+    status = (
+        F.when(~F.coalesce("enabled", F.lit(True)), "disabled").when(F.col("runs").isNull(), "idle").when(F.col("failures") >= F.expr("greatest(2, n div 2)"), "blocked").when((now == 0) & (before > 0), "broken")
+        .when(now == 0, F.when(F.col("offers") == 0, "idle").otherwise("broken")).when(F.col("runs") <= RECENT, "new").when(now < before * DEGRADED, "degraded").otherwise("ok")
+    )
+    return rows.select("site", status.alias("status"), "failures", "recent_avg", "baseline_avg", "offers")
+
+
+def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sites, events as their runs: some disabled, some that never ran, some that find nothing, with or without offers."""
+    catalog = Catalog(spark, sf_dir)
+    k = F.col("s_suppkey")
+    sites = catalog.table("supplier").select(k.alias("site"), (k % 17 != 0).alias("enabled"))
+    seen = F.when(F.col("user_id") % 5 == 0, 0).otherwise(F.when(F.col("user_id") % 5 != 1, F.col("value").cast("int")).when(F.col("ts") < F.lit("2024-01-25").cast("timestamp"), 9).otherwise(0))
+    ran = events(catalog).filter((F.col("user_id") % 11 != 0) & ((F.col("user_id") % 13 != 0) | (F.col("event_id") % 40 == 0)))
+    runs = ran.select(F.col("user_id").alias("site"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), seen.alias("seen"), (F.col("event_type") != "error").alias("ok"))
+    active = catalog.active_offers().filter("supplier_id % 2 = 0").groupBy(F.col("supplier_id").alias("site")).agg(F.count("*").alias("offers"))
+    return statuses(sites, runs, active)
+
+
 def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources per status, zeros included."""
     every = spark.createDataFrame([(s,) for s in ("disabled", "idle", "blocked", "broken", "new", "degraded", "ok")], "status string")
@@ -83,7 +113,7 @@ def session_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(Catalog(spark, sf_dir)).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (site_health, health_summary, watch_crossings, new_sites, demand_hourly_throttle, demand_report, failed_demand, tumbling_event_counts, sliding_event_counts, session_event_counts)}
+QUERIES = {f.__name__: f for f in (site_health, site_status, health_summary, watch_crossings, new_sites, demand_hourly_throttle, demand_report, failed_demand, tumbling_event_counts, sliding_event_counts, session_event_counts)}
 _HEALTH = f"""r AS (SELECT user_id, event_type, coalesce(CAST(trunc(value) AS INT), 0) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
 g AS (SELECT user_id AS site, count(*) AS runs, count(*) FILTER (rn <= {RECENT}) AS n, sum(seen) FILTER (rn <= {RECENT}) AS recent, sum(seen) FILTER (rn > {RECENT}) AS before, count(*) FILTER (rn <= {RECENT} AND event_type = 'error') AS failures FROM r WHERE rn <= {BASELINE} GROUP BY 1),
 h AS (SELECT *, recent / n AS recent_avg, coalesce(before / nullif(runs - n, 0), recent / n) AS baseline_avg FROM g),
@@ -91,6 +121,11 @@ health AS (SELECT site, failures, recent_avg, baseline_avg, CASE WHEN failures >
 _DEMAND = r"WITH d AS (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS keyword, count(*) AS requests, max(turn) AS offers_found FROM conversations WHERE role = 'user' GROUP BY 1)"
 ORACLES = {
     "site_health": f"WITH {_HEALTH} SELECT * FROM health",
+    "site_status": f"""WITH {OFFERS_SQL}, e AS (SELECT user_id AS site, event_type <> 'error' AS ok, CASE WHEN user_id % 5 = 0 THEN 0 WHEN user_id % 5 <> 1 THEN coalesce(trunc(value), 0) WHEN ts < TIMESTAMP '2024-01-25' THEN 9 ELSE 0 END AS seen, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id % 11 <> 0 AND (user_id % 13 <> 0 OR event_id % 40 = 0)),
+a AS (SELECT site, count(*) AS runs, least(count(*), {RECENT}) AS n, avg(seen) FILTER (rn <= {RECENT}) AS now, avg(seen) FILTER (rn > {RECENT}) AS before, count(*) FILTER (rn <= {RECENT} AND NOT ok) AS failures FROM e WHERE rn <= {BASELINE} GROUP BY 1),
+o AS (SELECT supplier_id AS site, count(*) AS offers FROM offers WHERE is_active AND supplier_id % 2 = 0 GROUP BY 1),
+j AS (SELECT s_suppkey AS site, runs, n, coalesce(failures, 0) AS failures, coalesce(now, 0.0::DOUBLE) AS recent_avg, coalesce(before, now, 0.0::DOUBLE) AS baseline_avg, coalesce(offers, 0) AS offers FROM supplier LEFT JOIN a ON a.site = s_suppkey LEFT JOIN o ON o.site = s_suppkey)
+SELECT site, CASE WHEN site % 17 = 0 THEN 'disabled' WHEN runs IS NULL THEN 'idle' WHEN failures >= greatest(2, n // 2) THEN 'blocked' WHEN recent_avg = 0 AND baseline_avg > 0 THEN 'broken' WHEN recent_avg = 0 AND offers = 0 THEN 'idle' WHEN recent_avg = 0 THEN 'broken' WHEN runs <= {RECENT} THEN 'new' WHEN recent_avg < baseline_avg * {DEGRADED} THEN 'degraded' ELSE 'ok' END AS status, failures, recent_avg, baseline_avg, offers FROM j""",
     "health_summary": f"WITH {_HEALTH} SELECT s.status, count(site) AS n FROM (VALUES ('disabled'), ('idle'), ('blocked'), ('broken'), ('new'), ('degraded'), ('ok')) s(status) LEFT JOIN health h ON h.status = s.status GROUP BY 1",
     "watch_crossings": f"SELECT event_id, user_id, value, previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE value <= {TARGET} AND NOT coalesce(previous <= {TARGET}, false)",
     "new_sites": f"SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= TIMESTAMP '{SPLIT}' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.user_id = e.user_id AND k.event_type = e.event_type AND k.ts < TIMESTAMP '{SPLIT}')",
