@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaarlake.sources.tables import stored
+
 #: Latest listing of a (product, supplier): every column takes part, as no subset is unique.
 LATEST = ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -75,6 +77,20 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
+def numbered(rows: DataFrame, key: str, first: int, name: str) -> DataFrame:
+    """rows (unique in key) with a long `name`: first and up, in order of key. Ranges of keys are numbered on their own, each after the rows of
+    the ranges before, so no task orders all rows."""
+    ranged = stored(rows.repartitionByRange(F.asc(key)).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_range").count().collect())  # a row a range
+    before, total = [], first
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "_range int, _start long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return ranged.join(starts, "_range").withColumn(name, F.col("_start") + place).drop("_range", "_start")
+
+
 def keep_newest_folders(names: list[str], keep: int) -> list[str]:
     """Which snapshot folders (named so that they sort by time) a rotation removes."""
     return sorted(names)[: max(0, len(names) - keep)]

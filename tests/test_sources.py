@@ -80,3 +80,18 @@ def test_rotation_and_csv(spark, tmp_path):
     assert catalog.keep_newest_folders(["v2", "v1", "v3"], 2) == ["v1"] and catalog.keep_newest_folders([], 2) == []
     catalog.write_csv(spark.createDataFrame([(1, None), (2, "x")], "id int, t string").coalesce(1), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_numbers_go_up_over_ranges(spark):
+    rows = spark.createDataFrame([(k * 7 % 101,) for k in range(101)], "id long").repartition(5)
+    got = {r.id: r.n for r in catalog.numbered(rows, "id", 1000, "n").collect()}
+    assert got == {k: 1000 + k for k in range(101)}
+    assert catalog.numbered(rows.limit(0), "id", 1, "n").collect() == []
+
+
+def test_details_without_children_leave_the_listings(spark):
+    schema = "id int, specs array<string>, extra map<string,string>, title string"
+    listed = spark.createDataFrame([(1, ["a"], {"k": "v"}, None), (2, [], None, "t"), (3, ["b"], None, "u")], schema)
+    detail = spark.createDataFrame([(1, [], {}, "d"), (2, ["x"], {"y": "z"}, "w"), (3, ["c"], None, None)], schema)
+    got = {r.id: (r.specs, r.extra, r.title) for r in curation.merge_detail(listed, detail, "id", ["specs", "extra"]).collect()}
+    assert got == {1: (["a"], {"k": "v"}, "d"), 2: (["x"], {"y": "z"}, "t"), 3: (["c"], None, "u")}
