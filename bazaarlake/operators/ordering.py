@@ -106,6 +106,19 @@ def agent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering_links(offers, spark.createDataFrame(AGENTS, "agent string, home string, template string, sites array<string>, place int"))
 
 
+def agent_notice(name: Column, needs_agent: Column) -> Column:
+    """What an item's page says where its site doesn't sell abroad; null where it does."""
+    said = F.concat(name, F.lit(" sells within its own country only: it neither ships abroad nor takes most foreign cards. Order through a forwarding agent, who buys the item and sends it on; the agent's fee, domestic shipping and international freight come on top of the price."))
+    return F.when(needs_agent, said)
+
+
+def agent_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notice on every site's offers, with the offers it stands on."""
+    catalog = Catalog(spark, sf_dir)
+    counts = catalog.active_offers().groupBy("site_id").agg(F.count("*").alias("offers"))
+    return counts.join(catalog.sites(), "site_id").select("site_key", "offers", agent_notice(F.initcap("site_key"), F.col("needs_agent")).isNotNull().alias("warned"))
+
+
 def agent_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goods, service fee, domestic shipping and estimated freight of one unit."""
     items = longest_prefix(Catalog(spark, sf_dir).products(), WEIGHTS, "kg", FALLBACK_KG)
@@ -141,7 +154,7 @@ def match_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", matching.score(none, F.col("title_signal"), none, F.lit(0), F.lit(False), F.lit(False))).withColumn("decision", matching.decide(F.col("score")))
 
 
-QUERIES = {f.__name__: f for f in (agent_links, forwarder_links, agent_total, translate_titles, match_explain)}
+QUERIES = {f.__name__: f for f in (agent_links, agent_notices, forwarder_links, agent_total, translate_titles, match_explain)}
 _LINKED = f"""WITH {OFFERS_SQL}, s AS (SELECT n_nationkey AS site_id, lower(n_name) AS site_key, r_name = 'ASIA' AS needs_agent FROM nation JOIN region ON r_regionkey = n_regionkey),
 o AS (SELECT product_id || '-' || supplier_id AS offer_key, 'https://www.' || replace(site_key, ' ', '-') || '.example/item?id=' || product_id AS url, replace(site_key, ' ', '-') || '.example' AS host, product_id, site_key, needs_agent FROM offers JOIN s USING (site_id) WHERE is_active),
 a AS (SELECT agent, regexp_replace(replace(home, 'https://', ''), '^www\\.', '') AS home, template, unnest(sites) AS site_key, place FROM (VALUES {', '.join(f"('{k}', '{h}', '{t}', {s}, {p})" for k, h, t, s, p in AGENTS)}) t(agent, home, template, sites, place)),
@@ -155,6 +168,7 @@ l AS (SELECT product_id, unnest([
 {'agent': 'cnfans', 'link': 'https://cnfans.com/product?id=' || CASE form WHEN 2 THEN '' ELSE id END || '&platform=' || CASE form WHEN 0 THEN 'ALI_1688' ELSE 'TAOBAO' END || '&productUrl=' || e || '&productPwd=&ref=r3', 'place': 6},
 {'agent': 'greetbuy', 'link': 'https://www.greetbuy.com/?url=' || e, 'place': 7}, {'agent': 'buckydrop', 'link': 'https://www.buckydrop.com/en/sourcing?url=' || e, 'place': 8}, {'agent': 'parcelup', 'link': 'https://parcelup.com/shop/?url=' || e, 'place': 9}]) AS x FROM u)"""
 ORACLES = {
+    "agent_notices": f"WITH {OFFERS_SQL} SELECT lower(n_name) AS site_key, count(*) AS offers, any_value(r_name) = 'ASIA' AS warned FROM offers JOIN nation ON n_nationkey = site_id JOIN region ON r_regionkey = n_regionkey WHERE is_active GROUP BY 1",
     "forwarder_links": f"WITH {_SOURCED} SELECT product_id, x.agent AS agent, x.link AS link, x.place AS place FROM l",
     "agent_links": f"{_LINKED} SELECT offer_key, 'direct' AS agent, url, 0 AS place FROM o WHERE NOT needs_agent UNION ALL SELECT offer_key, agent, CASE WHEN own THEN url ELSE replace(replace(template, '{{url}}', url_encode(url)), '{{id}}', product_id::VARCHAR) END, place FROM j WHERE own OR NOT hosted",
     "agent_total": f"SELECT p_partkey AS product_id, p_retailprice + p_retailprice * {SERVICE_FEE}::DOUBLE + {DOMESTIC_USD}::DOUBLE + greatest({BASE_FEE}::DOUBLE + {_prefix_sql(WEIGHTS, FALLBACK_KG)}::DOUBLE * {PER_KG}::DOUBLE, {LEAST_FREIGHT}::DOUBLE) AS total_usd FROM (SELECT *, lower(p_type) || '/' || lower(p_brand) AS path FROM part)",
