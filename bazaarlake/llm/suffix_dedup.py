@@ -247,21 +247,21 @@ def open_windows(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     A suffix's neighbours share most with it, so a window that begins k words before it can only be repeated if k words behind and the
     others ahead are shared with some document each. Where no single neighbour has both, the windows themselves are compared: of all
-    suffixes with those first words, the window's words by hash."""
+    suffixes with those first words that could have one at that offset, the window's words by hash."""
     low, high = F.greatest(F.lit(0), MIN_WORDS - F.max("ahead")), F.least(F.lit(LEFT), F.max("behind"))
     match = F.when(F.col("partner_id").isNotNull(), F.struct((MIN_WORDS - F.col("ahead")).alias("low"), F.col("behind").alias("high")))
     reach = found.groupBy("gram", "doc_id", "pos").agg(low.alias("low"), high.alias("high"), F.collect_set(match).alias("matches")).filter("low <= high")
     offsets = F.sequence("low", "high")
-    left_open = F.exists(offsets, lambda k: ~F.exists("matches", lambda m: (m["low"] <= k) & (k <= m["high"])))
+    left_open = F.filter(offsets, lambda k: ~F.exists("matches", lambda m: (m["low"] <= k) & (k <= m["high"])))
     reach = stored(reach.select("gram", "doc_id", "pos", offsets.alias("offsets"), left_open.alias("open")), "suffix-reach")
-    contested = reach.filter("open").select("gram").distinct()
-    wanted = reach.join(contested, "gram", "left_semi").join(rows, ["gram", "doc_id", "pos"]).select("gram", "doc_id", "pos", "left", "right", F.explode("offsets").alias("k"))
+    contested = reach.filter(F.size("open") > 0).select("gram", F.explode("open").alias("k")).groupBy("gram").agg(F.collect_set("k").alias("asked"))
+    asked = reach.join(contested, "gram").select("gram", "doc_id", "pos", F.array_intersect("offsets", "asked").alias("offsets")).filter(F.size("offsets") > 0)
+    wanted = asked.join(rows, ["gram", "doc_id", "pos"]).select("gram", "doc_id", "pos", "left", "right", F.explode("offsets").alias("k"))
     k = F.col("k")
     window = F.concat(F.expr("substring(left, 1, 4 * k)"), F.expr(f"substring(right, 1, 4 * ({MIN_WORDS} - k))"))
     keyed = stored(wanted.select("doc_id", F.col("pos").cast("long").alias("pos"), k, F.unhex(F.md5(F.concat(F.hex("gram"), F.lit(":"), k, F.lit(":"), F.hex(window)))).alias("window")), "suffix-windows")
-    shared = keyed.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("first < last")
-    total = keyed.count()
-    both = lookup(keyed, stored(shared, "suffix-open"), "window", "rows", total).filter(F.col("rows").isNotNull())
+    shared = keyed.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    both = keyed.join(stored(shared, "suffix-open"), "window")  # Spark splits the windows that very many suffixes share
     return both.select("doc_id", (F.col("pos") - F.col("k")).alias("start_word"), (F.col("pos") - F.col("k") + MIN_WORDS).alias("end_word"), F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner_id"))
 
 
