@@ -89,3 +89,15 @@ def test_substring_search_takes_signs_as_they_are(spark, tmp_path):
     index.upsert(spark.createDataFrame([(i, t, None, None, None, f"MP-{i}%_", None, None, None) for i, t in titles.items()], SCHEMA))
     for query, found in [("a\\b", {1}), ("0%", {2}), ("x_y", {3}), ("P-4%_", {4}), ("'", {5}), ("%", {1, 2, 3, 4, 5}), ("  ", set()), ("CLAIR\\", {5})]:
         assert {r.product_id for r in search.search_products(index, query, []).collect()} == found
+
+
+def test_rows_of_a_block_are_built_in_one_of_many_tasks(spark, tmp_path, monkeypatch):
+    """Tasks follow the number of products; the texts are shuffled by block, not their words."""
+    monkeypatch.setattr(text_index, "RANGE", 4)
+    monkeypatch.setattr(text_index, "TASK_PRODUCTS", 8)
+    fields = "product_id long, title string, title_raw string, brand string, model string, mpn string, identifiers string, specs string, path string"
+    rows = [(k, f"hub m{k} hub", None, "acme", None, None, None, None, None) for k in range(80)]
+    index = text_index.TextIndex(spark, f"file://{tmp_path}/index")
+    index.upsert(spark.createDataFrame(rows, fields))
+    assert spark.read.parquet(f"{index.location}/{index.state().segments[0].folder}/rows").inputFiles().__len__() > 4
+    assert sorted((r.field, r.term, r.product_id, r.times) for r in index.terms().collect()) == sorted(x for k in range(80) for x in [("title", "hub", k, 2), ("title", f"m{k}", k, 1), ("brand", "acme", k, 1)])
