@@ -86,3 +86,17 @@ def test_hashes_within_a_distance_equal_brute_force(spark, distance):
     got = Counter(tuple(r) for r in hashjoin.pairs_within(spark.createDataFrame(rows, "image_id long, phash long"), distance).collect())
     known = [(k, h & (2**64 - 1)) for k, h in rows if h is not None]
     assert got == Counter((i, j, d) for i, x in known for j, y in known if i < j and (d := bin(x ^ y).count("1")) <= distance)
+
+
+def test_far_hashes_meet_in_several_tasks(spark, monkeypatch):
+    """Small inputs too: the blocks of a wide distance aren't led into one task; both sides differ, and a block is compared in stripes and tiles."""
+    monkeypatch.setattr(hashjoin, "TILE", 100)
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("phash"))
+    wanted = hashes.filter("phash % 5 = 0")
+    known, some = ([r.phash & (2**64 - 1) for r in side.collect()] for side in (hashes, wanted))
+    near = hashjoin.near_hashes(wanted, hashes, 20)
+    assert near.rdd.getNumPartitions() >= 8
+    assert Counter((r.x & (2**64 - 1), r.y & (2**64 - 1), r.distance) for r in near.collect()) == Counter((x, y, d) for x in some for y in known if (d := (x ^ y).bit_count()) <= 20)
+    half = hashjoin.near_hashes(hashes, None, 14)
+    assert half.rdd.getNumPartitions() >= 8 and half.filter("x > y").isEmpty()
+    assert half.count() == sum((x ^ y).bit_count() <= 14 for k, x in enumerate(known) for y in known[k:])
