@@ -101,3 +101,26 @@ def test_rows_of_a_block_are_built_in_one_of_many_tasks(spark, tmp_path, monkeyp
     index.upsert(spark.createDataFrame(rows, fields))
     assert spark.read.parquet(f"{index.location}/{index.state().segments[0].folder}/rows").inputFiles().__len__() > 4
     assert sorted((r.field, r.term, r.product_id, r.times) for r in index.terms().collect()) == sorted(x for k in range(80) for x in [("title", "hub", k, 2), ("title", f"m{k}", k, 1), ("brand", "acme", k, 1)])
+
+
+def test_a_block_turns_its_products_to_terms_at_once(spark, tmp_path, monkeypatch):
+    """The rows of a block come from its products' words whole, not from a row a word that is sorted and gathered twice."""
+    monkeypatch.setattr(text_index, "RANGE", 4)
+    plans = []
+    write = TextIndex._write
+    monkeypatch.setattr(TextIndex, "_write", lambda self, folder, members, rows, *a: plans.append(rows._jdf.queryExecution().toString()) or write(self, folder, members, rows, *a))
+    rng = random.Random(5)
+    texts = [None, "", "  - ", "Ünï cödé x x", "汉字 汉字 a"]
+    rows = [(k, rng.choice(texts), rng.choice(texts), None, "b", None, rng.choice(texts), rng.choice(texts), "t/x") for k in range(-9, 30)]
+    fields = spark.createDataFrame(rows, SCHEMA)
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.upsert(fields)
+    assert len(plans) == 1 and "Generate" not in plans[0]
+    held = [(r.field, r.term, p.product_id, tuple(p.positions), r.block) for r in index._rows(index.state()).collect() for p in r.postings]
+    want = {}
+    for r in bm25.postings(fields).collect():
+        want.setdefault((r.field, r.term, r.product_id), []).append(r.pos)
+    assert Counter(held) == Counter((f, t, i, tuple(sorted(p)), i // 4) for (f, t, i), p in want.items())
+    for r in index._rows(index.state()).collect():
+        assert r.n == len(r.postings) and r.most == max(len(p.positions) for p in r.postings) and [p.product_id for p in r.postings] == sorted(p.product_id for p in r.postings)
+    assert index.state().words == sum(map(len, want.values())) == sum(m.len for m in index.members().collect())
