@@ -52,11 +52,16 @@ class BucketStore:
     def bucket(self, part: str) -> Column:
         return F.pmod(F.xxhash64(*self.parts[part][1]), F.lit(self.buckets)).cast("int").alias("bucket")
 
+    def present(self, part: str, keys: DataFrame, log: list) -> DataFrame:
+        """The present rows of the buckets that keys touch."""
+        held = self.folders(log, part)
+        buckets = [r["bucket"] for r in keys.select(self.bucket(part)).distinct().collect()]  # `buckets` at most
+        return self.rows(part, sorted(held[b] for b in buckets if b in held))
+
     def touched(self, part: str, keys: DataFrame, log: list) -> tuple[DataFrame, DataFrame]:
         """Of the buckets that keys touch: the present rows with one of the keys, and the others."""
-        held, key = self.folders(log, part), self.parts[part][1]
-        buckets = [r["bucket"] for r in keys.select(self.bucket(part)).distinct().collect()]  # `buckets` at most
-        present, own = self.rows(part, sorted(held[b] for b in buckets if b in held)), keys.select(*key).distinct()
+        key = self.parts[part][1]
+        present, own = self.present(part, keys, log), keys.select(*key).distinct()
         return present.join(own, key, "left_semi"), present.join(own, key, "left_anti")
 
     def write(self, part: str, rows: DataFrame, folder: str, keys: DataFrame | None = None) -> list[tuple]:
@@ -65,7 +70,7 @@ class BucketStore:
         if self.parts[part][1] is None:
             rows.select(*names).write.parquet(f"{self.path}/{folder}/{part}")
             return [(part, 0, f"{folder}/{part}")]
-        rows.select(*names, self.bucket(part)).write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{part}")
+        rows.select(*names, self.bucket(part)).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}/{part}")
         written = {r["bucket"] for r in self.spark.read.schema(f"{self.parts[part][0]}, bucket int").parquet(f"{self.path}/{folder}/{part}").select("bucket").distinct().collect()}
         files = [(part, b, f"{folder}/{part}/bucket={b}") for b in sorted(written)]
         gone = set() if keys is None else {r["bucket"] for r in keys.select(self.bucket(part)).distinct().collect()} - written

@@ -35,15 +35,18 @@ class RollupStore(BucketStore):
         if (named := self.next_batch(log, query, batch)) is None:
             return False
         batch, folder = named
-        newest = F.max(F.struct("last_seen", "product_id", "price_usd", F.struct(*fields_of(OFFER)).alias("row")))["row"]
-        fresh = stored(changes.filter("offer_id IS NOT NULL").groupBy("offer_id").agg(newest.alias("o")).select("o.*"), "rollup-changes")
+        others_first = ["last_seen", "product_id", "price_usd"]
+        order = [*others_first, *(c for c in fields_of(OFFER) if c not in ("offer_id", *others_first))]  # each column once, as they decide
+        fresh = changes.filter("offer_id IS NOT NULL").groupBy("offer_id").agg(F.max(F.struct(*order)).alias("o")).select("offer_id", "o.*").select(*fields_of(OFFER))
+        fresh = stored(fresh, "rollup-changes")
         known, other_owners = self.touched("owners", fresh, log)
         affected = stored(fresh.select("product_id").unionByName(known.select("product_id")).filter("product_id IS NOT NULL").distinct(), "rollup-affected")
-        present, others = self.touched("offers", affected, log)
-        now = stored(present.join(fresh.select("offer_id"), "offer_id", "left_anti").select(*fields_of(OFFER)).unionByName(fresh.filter("product_id IS NOT NULL")), "rollup-offers")
-        files = self.write("offers", others.unionByName(now), folder, affected)
+        # an offer that changes has its old product among the affected, so it is in the buckets that they touch
+        kept = self.present("offers", affected, log).join(fresh.select("offer_id"), "offer_id", "left_anti").select(*fields_of(OFFER))
+        files = self.write("offers", kept.unionByName(fresh.filter("product_id IS NOT NULL")), folder, affected)
+        now = self.rows("offers", [f for _, _, f in files]).filter("is_active").join(affected, "product_id", "left_semi")
         files += self.write("owners", other_owners.unionByName(fresh.select("offer_id", "product_id")), folder)
-        rolled = affected.join(roll_up(now.filter("is_active")), "product_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("offer_count", "site_count")}).withColumn("is_active", F.col("offer_count") > 0)
+        rolled = affected.join(roll_up(now), "product_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("offer_count", "site_count")}).withColumn("is_active", F.col("offer_count") > 0)
         _, other_rollups = self.touched("rollups", affected, log)
         files += self.write("rollups", other_rollups.unionByName(rolled.select(*fields_of(ROLLUP))), folder)
         self.commit(log, query, batch, files)

@@ -96,3 +96,17 @@ def test_upserts_of_two_streams_and_null_keys(spark, tmp_path):
     table.write(batch((3, 1, 7.0)), 0, "a")  # a replay
     table.write(batch((None, 3, 3.0)), 1, "a")
     assert Counter(map(tuple, table.read().collect())) == Counter([(1, 1, 5.0), (2, 1, 6.0), (None, 3, 3.0)])
+
+
+def test_a_batch_writes_its_offers_once(spark, tmp_path, monkeypatch):
+    """The present offers go to their buckets only; the products' rollups are taken from there, not from a copy between."""
+    copies = []
+    stored = rollups.stored
+    monkeypatch.setattr(rollups, "stored", lambda df, name: copies.append(name) or stored(df, name))
+    store = rollups.RollupStore(spark, str(tmp_path / "s"), 4)
+    offer = lambda k, p, price, n=0: (f"o{k}", p, 1, 1, price, 1, None, True, day(n))
+    store.apply(spark.createDataFrame([offer(k, k % 5, 5.0 + k) for k in range(20)], rollups.OFFER))
+    store.apply(spark.createDataFrame([offer(0, 7, 1.0, 1), offer(1, None, 1.0, 1), offer(2, 2, 3.0, 1), offer(2, 2, 9.0)], rollups.OFFER))
+    assert sorted(copies) == sorted(2 * ["rollup-changes", "rollup-affected"])
+    assert sorted((r.offer_id, r.product_id) for r in store.read("offers").collect()) == sorted([("o0", 7), *((f"o{k}", k % 5) for k in range(2, 20))])
+    assert {r.product_id: (r.offer_count, r.best_price_usd) for r in store.read("rollups").collect()} == {0: (3, 10.0), 1: (3, 11.0), 2: (4, 3.0), 3: (4, 8.0), 4: (4, 9.0), 7: (1, 1.0)}
