@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +52,14 @@ def checked(raw: DataFrame, required: tuple[str, ...] = REQUIRED) -> tuple[DataF
     return marked.filter("reason = ''").drop("reason"), marked.filter("reason <> ''")
 
 
-def normalised(raw: DataFrame, home_currency: str = "USD") -> DataFrame:
+def normalised(raw: DataFrame, home_currency: str = "USD", fold: Callable[[Column], Column] = text.nfkc) -> DataFrame:
     """Field rules of a listing: a price of zero or less is none, a ceiling only above the price, MOQ 1 at least, lengths cut, free shipping costs 0."""
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     currency = F.upper(F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit(home_currency)))
     shipping = F.when(F.col("shipping_cost").isNotNull(), units.to_usd(F.col("shipping_cost"), F.coalesce(F.col("shipping_currency"), currency))).when(F.col("shipping_free"), 0.0)
     out = raw.withColumns({
         "url": F.substring("url", 1, 1024), "title": F.substring(F.coalesce("title", F.lit("")), 1, 512), "shipping_usd": shipping, "currency": currency, "price_min": positive("price_min"), "price_max": positive("price_max"),
-        "moq": F.greatest(F.lit(1), F.coalesce("moq", F.lit(1))), "moq_unit": F.coalesce(F.nullif(F.col("moq_unit"), F.lit("")), F.lit("piece")), "gtin": text.normalize_gtin(F.col("gtin")), "brand": text.truncate(F.col("brand"), 120), "mpn": text.truncate(F.col("mpn"), 160), "model": text.truncate(F.col("model"), 160),
+        "moq": F.greatest(F.lit(1), F.coalesce("moq", F.lit(1))), "moq_unit": F.coalesce(F.nullif(F.col("moq_unit"), F.lit("")), F.lit("piece")), "gtin": text.normalize_gtin(F.col("gtin")), "brand": text.truncate(F.col("brand"), 120, fold), "mpn": text.truncate(F.col("mpn"), 160, fold), "model": text.truncate(F.col("model"), 160, fold),
     })
     return out.withColumn("price_max", F.when(F.col("price_min").isNull() | (F.col("price_max") > F.col("price_min")), F.col("price_max")))
 

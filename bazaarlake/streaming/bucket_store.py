@@ -70,7 +70,8 @@ class BucketStore:
         if self.parts[part][1] is None:
             rows.select(*names).write.parquet(f"{self.path}/{folder}/{part}")
             return [(part, 0, f"{folder}/{part}")]
-        rows.select(*names, self.bucket(part)).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}/{part}")
+        bucket = F.col("bucket") if "bucket" in rows.columns else self.bucket(part)  # rows that come in order of it are not sorted again
+        rows.select(*names, bucket).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}/{part}")
         written = {r["bucket"] for r in self.spark.read.schema(f"{self.parts[part][0]}, bucket int").parquet(f"{self.path}/{folder}/{part}").select("bucket").distinct().collect()}
         files = [(part, b, f"{folder}/{part}/bucket={b}") for b in sorted(written)]
         gone = set() if keys is None else {r["bucket"] for r in keys.select(self.bucket(part)).distinct().collect()} - written

@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.functions import text, units
+from bazaarlake.functions.parsing import nfkc_each
 from bazaarlake.operators import ingest
 from bazaarlake.sources.catalog import Catalog
+from bazaarlake.sources.mappings import bound
 from bazaarlake.sources.tables import shared_dir, stored
 from bazaarlake.streaming.bucket_store import BucketStore, fields_of
 
@@ -42,8 +44,8 @@ HISTORY = "site_key string, listing_id string, ts timestamp, price_usd double, l
 SUPPLIER_FACTS = {"years": "int", "rating": "double", "url": "string", "country": "string", "name": "string"}
 SUPPLIER = "site_key string, name_norm string, verified boolean, first_seen timestamp, last_seen timestamp, " + ", ".join(f"{c} struct<at: timestamp, {c}: {t}>" for c, t in SUPPLIER_FACTS.items())
 QUARANTINE = f"{RAW}, reason string"
-#: Part of the store: its columns and, where a batch rewrites buckets, their keys.
-PARTS = {"listings": (LISTING, KEY), "suppliers": (SUPPLIER, ["site_key", "name_norm"]), "history": (HISTORY, None), "quarantine": (QUARANTINE, None)}
+#: Part of the store: its columns and, where a batch rewrites buckets, their keys. A batch's listings lie among the versions that led to them (see `timeline`).
+PARTS = {"listings": (f"{LISTING}, old boolean, changed boolean, last boolean", KEY), "suppliers": (SUPPLIER, ["site_key", "name_norm"]), "history": (HISTORY, None), "quarantine": (QUARANTINE, None)}
 #: An update without them leaves them.
 STICKY = ["description", "category_path", "payload", "detail_at", "shipping_usd", "specs", "variants", "tiers"]
 
@@ -53,27 +55,47 @@ def filled(array: Column) -> Column:
     return F.when(F.size(array) > 0, array)
 
 
+def firsts(children: Column, key: str, kind: str) -> Column:
+    """Of structs of the kind, the first by position of each key, by position; null for none. They are sorted by key, so that a listing of many is not compared pair by pair."""
+    keyed = F.array_sort(F.transform(children, lambda c: F.struct(c[key].alias("k"), c["position"].alias("position"), c.alias("c"))))
+    once = bound(keyed, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["k"] != x["k"])))
+    placed = F.array_sort(F.transform(once, lambda x: F.struct(x["position"].alias("position"), x["c"].alias("c"))))
+    return filled(F.transform(placed, lambda x: x["c"]).cast(f"array<{kind}>"))
+
+
 def versions(good: DataFrame) -> DataFrame:
-    """Raw listings by the field rules: one row for each (listing, seen_at), children cleaned, first of each name or sku."""
-    rows = good.withColumn("vid", F.concat_ws("\x1f", *KEY, F.unix_micros("seen_at").cast("string")))
-    one = Window.partitionBy("vid").orderBy(F.xxhash64(*(F.col(c) for c in good.columns)))
-    rows = rows.withColumn("rn", F.row_number().over(one)).filter("rn = 1").drop("rn")
-    rows = ingest.normalised(rows).withColumns({"detail_at": F.when(F.col("detailed"), F.col("seen_at")), "tiers": filled(F.array_sort("tiers"))})
-    rows = rows.withColumns({"description": F.substring(F.nullif(F.col("description"), F.lit("")), 1, 20000), "category_path": F.substring(F.nullif(F.col("category_path"), F.lit("")), 1, 512), "payload": F.nullif(F.col("payload"), F.lit(""))})
-    child = lambda c: rows.select(F.col("vid").alias("listing_id"), F.explode(c).alias("c")).select("listing_id", "c.*")
-    gathered = lambda df, kind, name: df.groupBy(F.col("listing_id").alias("vid")).agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*fields_of(kind[7:-1])).alias("c")))).alias("a")).select("vid", F.transform("a", lambda x: x["c"]).alias(name))
-    specs = gathered(ingest.spec_rows(child("specs")), SPEC, "specs")
-    skus = gathered(ingest.variant_rows(child("variants")), VARIANT, "variants")
-    return rows.drop("specs", "variants").join(specs, "vid", "left").join(skus, "vid", "left").drop("vid")
+    """Raw listings by the field rules: children cleaned, first of each name or sku; `pick` decides between versions of one seen_at. Only
+    rows with letters outside ASCII have their compatibility forms folded, which takes a turn in Python."""
+    rows = good.withColumns({"pick": F.xxhash64(*(F.col(c) for c in good.columns)), "names": F.transform("specs", lambda s: s["key"])})
+    folds = F.concat_ws(" ", "brand", "mpn", "model", "names").rlike(r"[^\x00-\x7F]")
+    plain = ingest.normalised(rows.filter(~folds), fold=text.as_is)
+    return cleaned(plain).unionByName(cleaned(ingest.normalised(rows.filter(folds)).withColumn("names", nfkc_each("names"))))
 
 
-def timeline(state: DataFrame, fresh: DataFrame) -> DataFrame:
-    """All rows of state (listings as they stand) and fresh (versions) in order of each listing, with what every version leaves: `old` marks
-    the rows of state, `changed` the versions that add to the history, `last` the final row of a listing."""
+def cleaned(rows: DataFrame) -> DataFrame:
+    """Normalised listings with their other texts cut and their children cleaned; names: the attributes' names, folded."""
+    rows = rows.withColumns({"detail_at": F.when(F.col("detailed"), F.col("seen_at")), "tiers": filled(F.array_sort("tiers"))})
+    rows = rows.withColumns({"description": F.substring(F.nullif(F.col("description"), F.lit("")), 1, 20000), "category_path": F.substring(F.nullif(F.col("category_path"), F.lit("")), 1, 512), "payload": F.nullif(F.col("payload"), F.lit(""))})
+    rows = rows.withColumn("names", F.transform("names", lambda k: F.substring(text.spec_key(k, text.as_is), 1, 200)))
+    spec = lambda s, i: F.struct(F.substring(s["key"], 1, 200).alias("key"), F.substring(F.coalesce(s["value"], F.lit("")), 1, 1000).alias("value"), F.get("names", i).alias("key_norm"), s["position"].alias("position"))
+    specs = F.filter(F.transform("specs", spec), lambda s: s["key_norm"] != "")
+    sku = lambda v: F.substring(F.trim(F.coalesce(F.nullif(v["sku"], F.lit("")), v["name"], F.lit(""))), 1, 160)
+    variant = lambda v: F.struct(sku(v).alias("sku"), *(v[c].alias(c) for c in ("name", "price", "currency", "in_stock", "position")))
+    variants = F.filter(F.transform("variants", variant), lambda v: v["sku"] != "")
+    return rows.withColumns({"specs": F.when(F.size("specs") > 0, firsts(specs, "key_norm", SPEC)), "variants": F.when(F.size("variants") > 0, firsts(variants, "sku", VARIANT))}).drop("names")
+
+
+def timeline(state: DataFrame, fresh: DataFrame, bucket: Column) -> DataFrame:
+    """All rows of state (listings as they stand) and those of fresh (versions) that are newer, one of each seen_at, in order of each listing, with what every
+    version leaves: `old` marks the rows of state, `changed` the versions that add to the history, `last` the final row of a listing, which alone
+    keeps its texts and children. The rows meet once, in the order of their buckets (bucket: of a listing's key)."""
     new = fresh.withColumns({"old": F.lit(False), "price_usd": F.lit(None).cast("double"), "landed_usd": F.lit(None).cast("double"), "first_seen": F.col("seen_at"), "last_seen": F.col("seen_at"), "versions": F.lit(1).cast("long")})
-    columns = [*fields_of(LISTING), "old"]
-    rows = state.withColumn("old", F.lit(True)).select(*columns).unionByName(new.select(*columns))
-    order = Window.partitionBy(*KEY).orderBy("last_seen")
+    columns = [*fields_of(LISTING), "old", "pick"]
+    rows = state.withColumns({"old": F.lit(True), "pick": F.lit(0).cast("long")}).select(*columns).unionByName(new.select(*columns)).withColumn("bucket", bucket)
+    order = Window.partitionBy("bucket", *KEY).orderBy(F.desc("old"), "last_seen", "pick")
+    known = F.coalesce(F.col("last_seen") <= F.max(F.when(F.col("old"), F.col("last_seen"))).over(order), F.lit(False))
+    again = F.lag("last_seen").over(order).eqNullSafe(F.col("last_seen"))
+    rows = rows.withColumns({"known": known, "again": again}).filter("old OR NOT (known OR again)").drop("known", "again")
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in STICKY} | {"first_seen": F.min("first_seen").over(order), "versions": F.sum("versions").over(order)})
     found = F.transform(F.filter("specs", lambda s: F.trim(s["value"]) != ""), lambda s: F.struct(s["key_norm"].alias("k"), F.lower(F.trim(s["value"])).alias("v")))
     by_name = F.map_from_entries(F.coalesce(found, F.array().cast("array<struct<k: string, v: string>>")))
@@ -90,15 +112,19 @@ def timeline(state: DataFrame, fresh: DataFrame) -> DataFrame:
     out = out.withColumn("landed_usd", keep("landed_usd", F.round(F.col("price_usd") * F.greatest(F.lit(1), F.col("moq")) + F.coalesce("shipping_usd", F.lit(0.0)), 4)))
     was = lambda c: F.lag(c).over(order)
     moved = was("old").isNull() | ~F.col("price_usd").eqNullSafe(was("price_usd")) | ~F.col("landed_usd").eqNullSafe(was("landed_usd"))
-    return out.withColumns({"changed": ~F.col("old") & moved, "last": F.lead("old").over(order).isNull()}).drop("low", "high", "tier")
+    out = out.withColumns({"changed": ~F.col("old") & moved, "last": F.lead("old").over(order).isNull()}).drop("low", "high", "tier", "pick")
+    return out.withColumns({c: F.when(F.col("last"), F.col(c)) for c in ("description", "category_path", "payload", "specs", "variants", "tiers")})
 
 
 def suppliers_of(rows: DataFrame) -> DataFrame:
-    """Suppliers of versions: the latest known years (0 is none) and rating, the first known address, country and name, each with its time, so that later batches merge in any order."""
-    name = text.clean(F.col("seller_name"))
-    named = rows.withColumns({"name": F.substring(name, 1, 200), "name_norm": F.substring(F.lower(name), 1, 200), "url": F.nullif(F.col("seller_url"), F.lit("")), "years": F.when(F.col("years") > 0, F.col("years"))}).filter("name_norm <> ''")
+    """Suppliers of versions: the latest known years (0 is none) and rating, the first known address, country and name, each with its time, so that later batches merge in any order.
+    Rows are gathered by the name as it is written, and only what is left is cleaned."""
+    given = rows.withColumns({"url": F.nullif(F.col("seller_url"), F.lit("")), "years": F.when(F.col("years") > 0, F.col("years")), "name": F.coalesce("seller_name", F.lit(""))})
     fact = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("last_seen").alias("at"), F.col(c).alias(c)))
-    return merged_suppliers(named.select("site_key", "name_norm", F.coalesce("verified", F.lit(False)).alias("verified"), F.col("last_seen").alias("first_seen"), "last_seen", *(fact(c).alias(c) for c in SUPPLIER_FACTS)))
+    written = merged_suppliers(given.select("site_key", F.col("name").alias("name_norm"), F.coalesce("verified", F.lit(False)).alias("verified"), F.col("last_seen").alias("first_seen"), "last_seen", *(fact(c).alias(c) for c in SUPPLIER_FACTS)))
+    name = written.withColumn("clean", text.clean(F.col("name_norm")))
+    named = name.withColumns({"name": F.struct(F.col("name.at").alias("at"), F.substring("clean", 1, 200).alias("name")), "name_norm": F.substring(F.lower("clean"), 1, 200)}).drop("clean")
+    return merged_suppliers(named.filter("name_norm <> ''"))
 
 
 def merged_suppliers(rows: DataFrame) -> DataFrame:
@@ -116,6 +142,10 @@ class CatalogStore(BucketStore):
         """listings, suppliers, history or quarantine; specs, variants or tiers as rows of their listings."""
         return super().read(part) if part in PARTS else self.read("listings").select(*KEY, F.explode(part).alias("c")).select(*KEY, "c.*")
 
+    def rows(self, part: str, folders: list[str]) -> DataFrame:
+        found = super().rows(part, folders)
+        return found.filter("last").select(*fields_of(LISTING)) if part == "listings" else found
+
     def _not_held(self, bad: DataFrame, log: list) -> DataFrame:
         """Bad rows, each once, without those that the quarantine has."""
         one = bad.withColumn("row_key", F.xxhash64(*bad.columns)).dropDuplicates(["row_key"])
@@ -128,15 +158,11 @@ class CatalogStore(BucketStore):
         if (named := self.next_batch(log, query, batch)) is None:
             return False
         batch, folder = named
-        good, bad = ingest.checked(raw.withColumn("seen_at", F.col("seen_at").cast("timestamp")), ("site_key", "listing_id", "url", "title", "seen_at"))
-        fresh = stored(versions(good), "ingest-versions")
-        known, others = self.touched("listings", fresh, log)
-        seen = known.select(*KEY, F.col("last_seen").alias("seen_last"))
-        newer = fresh.join(seen, KEY, "left").filter(F.col("seen_last").isNull() | (F.col("seen_at") > F.col("seen_last"))).drop("seen_last")
-        rows = stored(timeline(known, newer), "ingest-timeline")
-        taken = rows.filter("NOT old")
-        names = fields_of(LISTING)
-        files = self.write("listings", others.select(*names).unionByName(rows.filter("last").select(*names)), folder)
+        given = stored(raw.withColumn("seen_at", F.col("seen_at").cast("timestamp")), "ingest-raw")
+        good, bad = ingest.checked(given, ("site_key", "listing_id", "url", "title", "seen_at"))
+        rows = timeline(self.present("listings", good, log), versions(good), self.bucket("listings"))
+        files = self.write("listings", rows, folder)
+        taken = super().rows("listings", [f for _, _, f in files]).filter("NOT old")
         found = stored(suppliers_of(taken), "ingest-suppliers")
         same, rest = self.touched("suppliers", found, log)
         files += self.write("suppliers", rest.unionByName(merged_suppliers(same.unionByName(found))), folder)

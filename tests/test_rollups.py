@@ -110,3 +110,25 @@ def test_a_batch_writes_its_offers_once(spark, tmp_path, monkeypatch):
     assert sorted(copies) == sorted(2 * ["rollup-changes", "rollup-affected"])
     assert sorted((r.offer_id, r.product_id) for r in store.read("offers").collect()) == sorted([("o0", 7), *((f"o{k}", k % 5) for k in range(2, 20))])
     assert {r.product_id: (r.offer_count, r.best_price_usd) for r in store.read("rollups").collect()} == {0: (3, 10.0), 1: (3, 11.0), 2: (4, 3.0), 3: (4, 8.0), 4: (4, 9.0), 7: (1, 1.0)}
+
+
+def test_rows_meet_once_and_children_are_cleaned_in_place(spark, tmp_path, monkeypatch):
+    """A batch makes one copy of the raw rows and one of suppliers; names in other forms agree, the first by position counts, old children stay."""
+    copies = []
+    stored = catalog_store.stored
+    monkeypatch.setattr(catalog_store, "stored", lambda df, name: copies.append(name) or stored(df, name))
+    store = catalog_store.CatalogStore(spark, str(tmp_path / "s"), 2)
+    spec = lambda key, value, position: {"key": key, "value": value, "position": position}
+    sku = lambda name, price, position: {"sku": "", "name": name, "price": price, "currency": "USD", "in_stock": True, "position": position}
+    row = lambda n, **given: {"site_key": "s", "listing_id": "a", "url": "u", "title": "t", "seen_at": day(n), "price_min": 9.0, "seller_name": "Ａcme  Co", **given}
+    raw = lambda *rows: spark.createDataFrame([{c: r.get(c) for c in spark.createDataFrame([], catalog_store.RAW).columns} for r in rows], catalog_store.RAW)
+    full = row(1, brand="Ｂ", specs=[spec("Ｃolour:", "red", 2), spec("color", "blue", 1), spec(" ", "x", 0), None, spec("Weight", None, None)], variants=[sku("b", 4.0, 2), sku("b", 3.0, 1), sku(None, 1.0, 0), sku("a", 5.0, 3)])
+    store.ingest(raw(full, row(0), {**row(1), "listing_id": "b", "seller_name": "acme co"}))
+    (a,) = store.read("listings").filter("listing_id = 'a'").collect()
+    assert (a.brand, a.versions, a.price_min, a.price_max) == ("B", 2, 3.0, 5.0)
+    assert [(s.key, s.value, s.key_norm) for s in a.specs] == [("Weight", "", "weight"), ("color", "blue", "color")] and [(v.sku, v.price) for v in a.variants] == [("b", 3.0), ("a", 5.0)]
+    store.ingest(raw(row(2, specs=[], price_min=8.0), row(1, title="late"), row(0), {**row(3), "title": ""}))
+    (b,) = store.read("listings").filter("listing_id = 'a'").collect()
+    assert (b.title, b.versions, b.specs, b.variants, b.first_seen, b.last_seen) == ("t", 3, a.specs, a.variants, day(0), day(2))
+    assert [(s.name_norm, s.name.name, s.last_seen) for s in store.read("suppliers").collect()] == [("acme co", "Acme Co", day(2))]
+    assert store.read("history").count() == 3 and store.read("quarantine").count() == 1 and copies == 2 * ["ingest-raw", "ingest-suppliers"]
