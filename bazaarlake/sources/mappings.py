@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from bazaarlake.functions import units
-from bazaarlake.sources.readers import json_field
+from bazaarlake.sources.readers import json_field, kept
 
 Field = Callable[[Column], Column]
 
@@ -57,7 +57,7 @@ def expand(value, context: Names[str, object], environment: Names[str, str]):
 
 def squeezed(value: Column) -> Column:
     """White space collapsed and trimmed; empty as null."""
-    return F.nullif(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), F.lit(""))
+    return kept(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), lambda t: t != "")
 
 
 def text(*paths: str) -> Field:
@@ -73,9 +73,8 @@ def number(*paths: str, positive: bool = False) -> Field:
     """The first path with a number; with `positive`, zero counts as none."""
 
     def read(doc: Column) -> Column:
-        tries = [json_field(doc, [p]) for p in paths]
-        values = [F.coalesce(t.try_cast("double"), units.number_of(t)) for t in tries]
-        return F.coalesce(*(F.nullif(v, F.lit(0.0)) if positive else v for v in values))
+        values = [bound(json_field(doc, [p]), lambda t: F.coalesce(t.try_cast("double"), units.number_of(t))) for p in paths]
+        return F.coalesce(*(kept(v, lambda x: x != 0.0) if positive else v for v in values))
 
     return read
 
@@ -109,10 +108,13 @@ def first(*fields: Field) -> Field:
 
 def elements(doc: Column, paths: list[str]) -> Column:
     """The array at the first path that leads to something, as JSON texts; one value counts as an array of it, none as an empty one."""
-    found = json_field(doc, paths)
-    array = F.from_json(F.when(found.startswith("{"), F.concat(F.lit("["), found, F.lit("]"))).otherwise(found), ArrayType(StringType()))
-    lone = F.array(F.trim(F.replace(found, F.lit('"'), F.lit(""))))
-    return F.when(found.isNull(), F.array().cast("array<string>")).when(found.startswith("[") | found.startswith("{"), F.filter(array, lambda x: x.isNotNull())).otherwise(lone)
+
+    def read(found: Column) -> Column:
+        array = F.from_json(F.when(found.startswith("{"), F.concat(F.lit("["), found, F.lit("]"))).otherwise(found), ArrayType(StringType()))
+        lone = F.array(F.trim(F.replace(found, F.lit('"'), F.lit(""))))
+        return F.when(found.isNull(), F.array().cast("array<string>")).when(found.startswith("[") | found.startswith("{"), F.filter(array, lambda x: x.isNotNull())).otherwise(lone)
+
+    return bound(json_field(doc, paths), read)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from bazaarlake.sources import mappings, vendors
 
@@ -97,3 +98,14 @@ def test_preset_with_tiers_specs_and_variants(spark):
     assert [(v["name"], v["in_stock"]) for v in one["variants"]] == [("Color: Red, Size: L", True), ("s2", False)]
     assert (two["moq"], two["price_min"], two["price_max"], two["image_urls"]) == (5, 1.5, 2.0, [])
     assert read(spark, mappings.compiled("1688", preset), {"Result": {"Items": item}})[0]["url"] == "x"
+
+
+def test_documents_are_read_once_a_field(spark):
+    """A field's path is looked up once, whatever conditions its value goes through; odd values stay what they were."""
+    rows = spark.createDataFrame([(1, '{"a": " x  y ", "n": "1,5", "z": 0, "l": [{"q": 1}, null, 2]}'), (2, '{"a": "", "n": "none", "z": "0.0", "l": {"q": 3}}'), (3, '{"a": [], "n": "2e1", "z": -0.0, "l": "\\"v"}'), (4, "{"), (5, None)], "id int, doc string")
+    doc = F.col("doc")
+    fields = {"a": mappings.text("a")(doc), "n": mappings.number("n", positive=True)(doc), "z": mappings.number("z", positive=True)(doc), "l": mappings.elements(doc, ["l"])}
+    for column in fields.values():
+        assert rows.select(column.alias("c"))._jdf.queryExecution().analyzed().toString().count("get_json_object(") == 1
+    got = [tuple(r) for r in rows.select("id", *(c.alias(n) for n, c in fields.items())).orderBy("id").collect()]
+    assert got == [(1, "x y", 1.5, None, ['{"q":1}', "2"]), (2, None, None, None, ['{"q":3}']), (3, None, 20.0, None, ["v"]), (4, None, None, None, []), (5, None, None, None, [])]
