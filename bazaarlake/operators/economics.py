@@ -19,9 +19,10 @@ SUSPICIOUS_DISCOUNT = 0.5
 LANDED_SQL = "price_usd * greatest(qty, coalesce(moq, 1)) + coalesce(shipping, 0.0)"
 
 
-def tiers(catalog: Catalog) -> DataFrame:
-    """Price ladder of each offer: least unit price by quantity."""
+def tiers(catalog: Catalog, dealt: bool = False) -> DataFrame:
+    """Price ladder of each offer: least unit price by quantity; `dealt` by offer, for those who gather an offer's steps."""
     line = catalog.table("lineitem")
+    line = line.repartition("l_partkey", "l_suppkey") if dealt else line
     return line.groupBy(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_quantity").cast("int").alias("min_qty")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
 
 

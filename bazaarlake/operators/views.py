@@ -18,13 +18,13 @@ from bazaarlake.sources.catalog import OFFERS_SQL, Catalog
 REMOVED, PENDING = "(product removed)", 50  # fixed values: title of a product that is gone; reviews on a page
 
 
-def offer_views(offers: DataFrame, sites: DataFrame, tiers: DataFrame, variants: DataFrame) -> DataFrame:
+def offer_views(offers: DataFrame, sites: DataFrame, tiers: DataFrame, variants: DataFrame, key: tuple[str, ...] = ("offer_id",)) -> DataFrame:
     """offers (offer_id, site_id, title_en, title_raw, ...) with their site, tiers (offer_id, min_qty, price, ...) and variants (offer_id, sku, price_usd, ...).
-    sites is a small table of settings."""
-    children = lambda rows, *order: rows.groupBy("offer_id").agg(F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{n}") for n, o in enumerate(order)), F.struct(*(c for c in rows.columns if c != "offer_id")).alias("row")))).alias("a")).select("offer_id", F.transform("a", lambda x: x["row"]).alias("rows"))
+    sites is a small table of settings; key: the columns that name an offer in all of them. Children dealt by the key before are not shuffled again."""
+    children = lambda rows, *order: rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{n}") for n, o in enumerate(order)), F.struct(*(c for c in rows.columns if c not in key)).alias("row")))).alias("a")).select(*key, F.transform("a", lambda x: x["row"]).alias("rows"))
     t = children(tiers, F.col("min_qty")).withColumnRenamed("rows", "tiers")
     v = children(variants, F.col("price_usd").isNull(), F.col("price_usd"), F.col("sku")).withColumnRenamed("rows", "variants")
-    rows = offers.join(F.broadcast(sites), "site_id", "left").join(t, "offer_id", "left").join(v, "offer_id", "left")
+    rows = offers.join(F.broadcast(sites), "site_id", "left").join(t, list(key), "left").join(v, list(key), "left")
     translated = known(F.col("title_en"))
     return rows.withColumns({
         "title": F.coalesce(translated, "title_raw"), "was_translated": F.coalesce(translated != F.col("title_raw"), F.lit(False)), "variant_count": F.greatest(F.lit(0), F.coalesce(F.size("variants"), F.lit(0))), "agent_notice": agent_notice(F.initcap("site_key"), F.coalesce("needs_agent", F.lit(False))),
@@ -51,14 +51,14 @@ def review_rows(reviews: DataFrame, offers: DataFrame, products: DataFrame, pict
 def offer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every active offer with its site, ladder and variants (its lines)."""
     catalog = Catalog(spark, sf_dir)
-    key = F.concat_ws("-", "product_id", "supplier_id").alias("offer_id")
+    key = ("product_id", "supplier_id")
     title = catalog.products().select("product_id", "title")
-    offers = catalog.active_offers().join(title, "product_id").select(key, "site_id", F.when(F.col("supplier_id") % 2 == 0, F.concat("title", F.lit(" en"))).when(F.col("supplier_id") % 5 == 0, "").alias("title_en"), F.col("title").alias("title_raw"), "price_usd", "moq")
+    offers = catalog.active_offers().join(title, "product_id").select(*key, "site_id", F.when(F.col("supplier_id") % 2 == 0, F.concat("title", F.lit(" en"))).when(F.col("supplier_id") % 5 == 0, "").alias("title_en"), F.col("title").alias("title_raw"), "price_usd", "moq")
     line = catalog.table("lineitem")
-    variants = line.select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("offer_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sku"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("price_usd"))
-    out = offer_views(offers, catalog.sites(), economics.tiers(catalog).select(key, "min_qty", "price"), variants)
+    variants = line.select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sku"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("price_usd"))
+    out = offer_views(offers, catalog.sites(), economics.tiers(catalog, dealt=True), variants, key)
     skus = F.array_join(F.transform("variants", lambda v: v["sku"]), " ")
-    return out.select("offer_id", "site_key", "needs_agent", "is_wholesale", "is_baseline", "title", "was_translated", "price_usd", "moq", F.array_join(F.transform("tiers", lambda t: t["min_qty"].cast("string")), " ").alias("tiers"), F.md5(skus).alias("skus"), F.col("variant_count").cast("long").alias("variant_count"), F.col("agent_notice").isNotNull().alias("warned"))
+    return out.select(F.concat_ws("-", *key).alias("offer_id"), "site_key", "needs_agent", "is_wholesale", "is_baseline", "title", "was_translated", "price_usd", "moq", F.array_join(F.transform("tiers", lambda t: t["min_qty"].cast("string")), " ").alias("tiers"), F.md5(skus).alias("skus"), F.col("variant_count").cast("long").alias("variant_count"), F.col("agent_notice").isNotNull().alias("warned"))
 
 
 def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
