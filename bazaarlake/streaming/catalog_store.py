@@ -144,7 +144,7 @@ class CatalogStore(BucketStore):
 
     def rows(self, part: str, folders: list[str]) -> DataFrame:
         found = super().rows(part, folders)
-        return found.filter("last").select(*fields_of(LISTING)) if part == "listings" else found
+        return found.filter("coalesce(last, true)").select(*fields_of(LISTING)) if part == "listings" else found  # files of former batches may lack the mark
 
     def _not_held(self, bad: DataFrame, log: list) -> DataFrame:
         """Bad rows, each once, without those that the quarantine has."""

@@ -132,3 +132,11 @@ def test_rows_meet_once_and_children_are_cleaned_in_place(spark, tmp_path, monke
     assert (b.title, b.versions, b.specs, b.variants, b.first_seen, b.last_seen) == ("t", 3, a.specs, a.variants, day(0), day(2))
     assert [(s.name_norm, s.name.name, s.last_seen) for s in store.read("suppliers").collect()] == [("acme co", "Acme Co", day(2))]
     assert store.read("history").count() == 3 and store.read("quarantine").count() == 1 and copies == 2 * ["ingest-raw", "ingest-suppliers"]
+
+
+def test_listings_of_files_without_marks_are_read(spark, tmp_path):
+    """A store that was written before versions lay beside listings keeps its listings."""
+    store = catalog_store.CatalogStore(spark, str(tmp_path / "s"), 1)
+    spark.createDataFrame([("s", "a", "t")], "site_key string, listing_id string, title string").write.parquet(str(tmp_path / "s" / "former" / "bucket=0"))
+    store.commit([], "", 0, [("listings", 0, "former/bucket=0")])
+    assert [(r.listing_id, r.title) for r in store.read("listings").collect()] == [("a", "t")]
