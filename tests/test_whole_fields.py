@@ -21,7 +21,7 @@ def long_dir(tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["bm25_top", "index_terms"])
+@pytest.mark.parametrize("name", ["bm25_top", "index_terms", "phrase_search"])
 def test_long_fields_are_indexed_to_their_end(spark, long_dir, name):
     con, folder = long_dir
     df = search.QUERIES[name](spark, folder)
