@@ -50,10 +50,9 @@ def banded(hashes: DataFrame, distance: int) -> DataFrame:
 def neighbours(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     """(band, value, other): values of left's bands with those of right's that lie near enough; at most 65,536 values a band on each side."""
     values = left.select("band", "value").distinct()
-    flips = lambda r: F.filter(F.sequence(F.lit(0), F.lit(2**BITS - 1)), lambda m: F.bit_count(m) <= r)
-    most = max(radii(distance))
-    masks = F.when(F.lit(most) > F.element_at(F.array(*map(F.lit, radii(distance))), F.col("band") + 1), flips(max(most - 1, 0))).otherwise(flips(most))
-    around = values.select("band", "value", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("other"))
+    limit = F.element_at(F.array(*map(F.lit, radii(distance))), F.col("band") + 1)
+    masks = values.sparkSession.range(2**BITS).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("bits")).filter(F.col("bits") <= max(radii(distance)))
+    around = values.join(F.broadcast(masks), F.col("bits") <= limit).select("band", "value", F.col("value").bitwiseXOR(F.col("mask")).alias("other"))
     return around.join(right.select("band", F.col("value").alias("other")).distinct(), ["band", "other"], "left_semi")
 
 

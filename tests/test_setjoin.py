@@ -100,3 +100,17 @@ def test_far_hashes_meet_in_several_tasks(spark, monkeypatch):
     half = hashjoin.near_hashes(hashes, None, 14)
     assert half.rdd.getNumPartitions() >= 8 and half.filter("x > y").isEmpty()
     assert half.count() == sum((x ^ y).bit_count() <= 14 for k, x in enumerate(known) for y in known[k:])
+
+
+@pytest.mark.parametrize("distance", [0, 3, 10, 11])
+def test_hashes_meet_by_bands_without_a_filter_of_all_masks_a_value(spark, distance):
+    """Small distances go by bands and equal brute force; the masks are made once, not filtered from 65,536 anew for each value."""
+    rng = random.Random(9)
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(63), n))
+    first = [rng.getrandbits(63) for _ in range(40)]
+    other = [flip(h, n) for h in first for n in (0, 1, 3, 4, 9, 10, 11, 12)]
+    frames = [spark.createDataFrame([(h,) for h in hashes], "phash long") for hashes in (first, other)]
+    near = hashjoin.near_hashes(*frames, distance)
+    want = {(x, y, d) for x in first for y in other if (d := (x ^ y).bit_count()) <= distance}
+    assert Counter(map(tuple, near.collect())) == Counter(want)
+    assert "sequence" not in hashjoin.neighbours(*(hashjoin.banded(f, distance) for f in frames), distance)._jdf.queryExecution().toString()
